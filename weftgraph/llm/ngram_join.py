@@ -174,7 +174,7 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*marks)), pa.array([s.tobytes() for s in own], pa.binary())], ["h1", "h2", "grams"])
 
     grams = texts.mapInArrow(again, "h1 long, h2 long, grams binary").dropDuplicates(["h1", "h2"])
-    located = where.join(grams, ["h1", "h2"])
+    located = where.withColumnRenamed("cell", "spot").join(grams, ["h1", "h2"])
 
     def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
         sets = {(a, b): np.frombuffer(g.as_buffer(), np.uint64) for a, b, g in zip(own["h1"].to_pylist(), own["h2"].to_pylist(), own["grams"])}
@@ -189,7 +189,7 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
         kinds = [pa.int64()] * 4 + [pa.float64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a1", "a2", "b1", "b2", "jaccard"])
 
-    result = placed.groupBy("cell").cogroup(located.groupBy("cell")).applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long, jaccard double")
+    result = placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long, jaccard double")
     return rows, result
 
 

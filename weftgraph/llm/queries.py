@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, ngram_join, packing, quality_rules, secrets
+from . import chat, exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets
 from .common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_chat": lambda spark, d: chat.formatted(table(spark, d, "conversations")),
     "op8_exact_dedup": lambda spark, d: exact_dedup.survivors(table(spark, d, "documents")),
     "op9_ngram_join": lambda spark, d: ngram_join.similar_pairs(table(spark, d, "documents")),
+    "op10_quality_classifier": lambda spark, d: quality_classifier.classified(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLES = {
