@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets
+from . import chat, exact_dedup, langid, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, toxicity
 from .common import table
 
 QUERIES = {
     "op1_mixing": lambda spark, d: mixing.emitted(table(spark, d, "documents")),
+    "op2_toxicity": lambda spark, d: toxicity.tagged(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op4_langid": lambda spark, d: langid.identified(table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: quality_rules.check(table(spark, d, "documents")),
     "op6_secrets": lambda spark, d: secrets.scan(table(spark, d, "documents")),
     "op7_chat": lambda spark, d: chat.formatted(table(spark, d, "conversations")),
