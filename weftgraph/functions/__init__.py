@@ -1,0 +1 @@
+"""Column functions and small helpers of the graph engine."""

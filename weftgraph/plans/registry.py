@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import table_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**table_queries.QUERIES}
+ORACLES: dict[str, str] = {**table_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

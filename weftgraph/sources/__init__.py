@@ -1,0 +1 @@
+"""Where graphs come from: tables, files, operations."""
