@@ -25,7 +25,7 @@ from .bytesets import GRAM_CODES, WORD_BYTE, chunks, mix, span_hashes, spans
 from .common import pick
 
 #: Hashed features (a power of two), labelled documents of each class to train on, and settings.
-FEATURES, SAMPLE = 1 << 20, 3_000
+FEATURES, SAMPLE = 1 << 20, 1_200
 EVIDENCE, THRESHOLD = 12.0, 0.7
 EPOCHS, RATE, DECAY, WINDOW = 6, 0.3, 1e-4, 64
 
@@ -103,26 +103,38 @@ def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, begin:
     return prob, (joint / joint.sum((0, 1))).sum(2) if len(b) else np.zeros((2, 2))
 
 
+def tally(key: np.ndarray, other: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, how many different others each has where bad, and elsewhere)."""
+    order = np.lexsort((bad, other, key))
+    key, other, bad = key[order], other[order], bad[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (bad[1:] != bad[:-1])))
+    key, bad = key[new], bad[new]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[at], np.add.reduceat(bad, at, dtype=np.int64), np.add.reduceat(~bad, at, dtype=np.int64)
+
+
 def lexicon(keys: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Sorted keys of words and beginnings that mark toxic documents; each text counts once."""
-    n = len(first) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    which = np.repeat(np.arange(4), len(row))
-    key, doc = keys[:, :4].T.reshape(-1), np.tile(row, 4)
-    del which
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-    key, doc = key[new], doc[new]
-    found, at = np.unique(key, return_index=True)
-    bad = np.add.reduceat(toxic[doc].astype(np.int64), at) if len(at) else np.empty(0)
-    good = np.add.reduceat((~toxic[doc]).astype(np.int64), at) if len(at) else np.empty(0)
+    """Sorted keys of words and beginnings that mark toxic documents.
+
+    A key counts as often as there are documents, or if fewer, different words before it: near
+    copies of one toxic document agree in these, so that their other words gather no evidence.
+    """
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    found, bad, good = [], [], []
+    for k in range(4):
+        own = keys[:, k]
+        f, b1, g1 = tally(own, row, toxic[row])
+        _, b2, g2 = tally(own, keys[:, 5], toxic[row])
+        found.append(f)
+        bad.append(np.minimum(b1, b2))
+        good.append(g1)
+    found, bad, good = (np.concatenate(x) for x in (found, bad, good))
     share = toxic.mean()
     every = bad + good
     rate = bad / np.maximum(1, every)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(bad > 0, bad * np.log(rate / share), 0) + np.where(good > 0, good * np.log((1 - rate) / (1 - share)), 0)
-    return found[(rate > 0.9) & (ratio > EVIDENCE)]
+    return np.sort(found[(rate > 0.9) & (ratio > EVIDENCE)])
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model | None:
@@ -136,6 +148,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model | None:
     keys = np.concatenate([k for _, k in parts])
     size = np.concatenate([np.diff(f) for f, _ in parts])
     first = np.concatenate(([0], np.cumsum(size)))
+    if not len(keys):
+        return None
     marks = lexicon(keys, first, toxic)
     if not len(marks):
         return None
@@ -150,7 +164,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model | None:
     rng = np.random.default_rng(seed)
     rng.shuffle(clean)
     chosen = np.concatenate((np.flatnonzero(has), clean[: max(500, 3 * int(has.sum()))]))
-    feats = slots(keys)
+    feats = slots(keys).astype(np.int32)
+    del keys, place, window, row
     w, trans, begin = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
     g2, t2, b2 = np.full(FEATURES, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
     for _ in range(EPOCHS):
