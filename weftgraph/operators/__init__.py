@@ -1,0 +1 @@
+"""Analyses of code graphs, as functions over DataFrames."""
