@@ -221,9 +221,7 @@ class Compiler:
                             continue
                         later.append((to, *self.extend(df, marks, path.nodes[k].var, target.var, edges, own, again, rel)))
             branches = later
-            if not branches:
-                return None
-        return self.unite([df for _, df, _ in branches])
+        return self.unite([df for _, df, _ in branches]) if branches else None
 
     def extend(self, df, marks, var, target, edges, own, again, rel) -> tuple[DataFrame, list[tuple[str, bool]]]:
         mark = f"@{next(self.names)}"
