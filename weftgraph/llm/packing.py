@@ -31,11 +31,17 @@ def best_pattern(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[f
     """The multiset of sizes within capacity that is worth most (unbounded knapsack)."""
     worth = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
+    use = np.flatnonzero(values > 1e-12)
+    use = use[np.argsort(np.array(sizes)[use], kind="stable")]
+    size, value = np.array(sizes)[use], values[use]
+    fit = np.searchsorted(size, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         worth[c] = worth[c - 1]
-        for g, s in enumerate(sizes):
-            if s <= c and values[g] > 1e-12 and worth[c - s] + values[g] > worth[c] + 1e-12:
-                worth[c], last[c] = worth[c - s] + values[g], g
+        if fit[c]:
+            found = worth[c - size[: fit[c]]] + value[: fit[c]]
+            g = int(found.argmax())
+            if found[g] > worth[c] + 1e-12:
+                worth[c], last[c] = found[g], use[g]
     pattern, c = np.zeros(len(sizes)), capacity
     while c > 0:
         if last[c] < 0:
@@ -84,7 +90,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(runs (length, rank from, rank to, first bin, pieces a bin), number of bins) for so many pieces of each length."""
     runs: list[tuple[int, int, int, int, int]] = []
     bins = histogram.get(capacity, 0)
@@ -97,7 +103,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
         starts = [0]
         for s in large:
             starts.append(starts[-1] + histogram[s])
-        cuts = sorted({total * g // GROUPS for g in range(GROUPS)})
+        cuts = sorted({total * g // groups for g in range(groups)})
         at = lambda place: bisect.bisect_right(starts, place) - 1
         sizes = [large[at(c)] for c in cuts]
         demand = [b - a for a, b in zip(cuts, [*cuts[1:], total])]
