@@ -116,25 +116,23 @@ def tables(w):
 
 
 def test_incremental_equals_fresh(spark, workspace):
-    changes = spark.createDataFrame([("file:///w/b.rb", "class Extra < Animal\nend\n", False)], "uri string, source string, deleted boolean")
+    new = ("file:///w/c.rb", "class Extra < Animal\nend\n")
+    changes = spark.createDataFrame([(*new, False), ("file:///w/b.rb", None, True), ("file:///w/never.rb", None, True)], "uri string, source string, deleted boolean")
     changed = workspace.apply(changes)
-    assert changed.graph.version == 1
-    fresh = Workspace.index(spark.createDataFrame([("file:///w/zoo.rb", ZOO), ("file:///w/b.rb", "class Extra < Animal\nend\n")], "uri string, source string"))
-    assert tables(changed) == tables(fresh)
-    assert changed.apply(changes) is changed
-    gone = changed.delete("file:///w/b.rb")
-    assert not {r.name for r in gone.graph.declarations.collect()} & {"Extra"} and gone.delete("file:///w/b.rb") is gone
+    fresh = Workspace.index(spark.createDataFrame([("file:///w/zoo.rb", ZOO), new], "uri string, source string"))
+    assert changed.graph.version == 1 and tables(changed) == tables(fresh)
+    assert "Animal#late()" not in {r.name for r in changed.graph.declarations.collect()}
+    assert changed.apply(changes) is changed and changed.delete("file:///w/b.rb") is changed
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, workspace, tmp_path):
     from weftgraph.streaming.changes import follow, read_changes
 
     feed = tmp_path / "feed"
     feed.mkdir()
     (feed / "1.json").write_text("\n".join(json.dumps(x) for x in ({"uri": "file:///a.rb", "source": "class Old; end", "seq": 1}, {"uri": "file:///a.rb", "source": "class New; end", "seq": 2})))
-    start = Workspace.index(spark.createDataFrame([], "uri string, source string"))
     seen = []
-    follow(read_changes(spark, str(feed)), start, str(tmp_path / "ck"), lambda w, n: seen.append(w), once=True).awaitTermination()
+    follow(read_changes(spark, str(feed)), workspace, str(tmp_path / "ck"), lambda w, n: seen.append(w), once=True).awaitTermination()
     names_ = {r.name for r in seen[-1].graph.declarations.collect()}
     assert "New" in names_ and "Old" not in names_ and len(seen) == 1
 
