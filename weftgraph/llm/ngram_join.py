@@ -121,27 +121,27 @@ def prefixes(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
 
 
 def candidates(groups: DataFrame, threshold: float, tasks: int) -> DataFrame:
-    """Pairs (a, asize, b, bsize) of groups, by p1 and size, that can reach the threshold, by what their prefixes share.
+    """Pairs (a, b) of groups(gid, size, prefix) that can reach the threshold, by what their prefixes share.
 
     Common n-grams come in the same order in both sets. So those beyond the prefixes are at most
     as many as the larger of the two rests, and the ones in the prefixes must make up for what is
     missing then. Before that, a pair needs a common n-gram so early in both that enough can follow
-    it, and sizes that are close enough. Should two groups of a size agree in p1, their
-    members are just candidates together. Both sides of the join are the same exchange.
+    it, and sizes that are close enough. Both sides of the join are the same exchange.
     """
-    entries = groups.select(F.col("p1").alias("p"), F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")).repartition(tasks, "token")
+    entries = groups.select("gid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")).repartition(tasks, "token")
     share = threshold / (1 + threshold)
-    a = entries.select("token", *[F.col(c).alias(f"a_{c}") for c in ("p", "size", "pos")])
-    b = entries.select("token", *[F.col(c).alias(f"b_{c}") for c in ("p", "size", "pos")])
-    first = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_p") < F.col("b_p")))
+    a = entries.select("token", *[F.col(c).alias(f"a_{c}") for c in ("gid", "size", "pos")])
+    b = entries.select("token", *[F.col(c).alias(f"b_{c}") for c in ("gid", "size", "pos")])
+    first = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_gid") < F.col("b_gid")))
     large = F.col("a_size") >= F.ceil(F.lit(threshold) * F.col("b_size") - 1e-9)
     joined = a.join(b, (a["token"] == b["token"]) & first & large)
     enough = F.ceil(F.lit(share) * (F.col("a_size") + F.col("b_size")) - 1e-9)
     room = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    counted = joined.groupBy("a_p", "b_p", "a_size", "b_size").agg(F.count("*").alias("common"), F.max(room).alias("room"))
     rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(f"{x}_size") - 1e-9) - 1 for x in "ab"])
-    kept = counted.where((F.col("room") >= enough) & (F.col("common") + rest >= enough))
-    return kept.select(F.col("a_p").alias("a"), F.col("a_size").alias("asize"), F.col("b_p").alias("b"), F.col("b_size").alias("bsize"))
+    # One number for each pair and task: how many are common, less how many must be, as its sizes say.
+    joined = joined.select(F.col("a_gid").alias("a"), F.col("b_gid").alias("b"), (enough - rest).cast("int").alias("need"), (room >= enough).alias("early"))
+    counted = joined.groupBy("a", "b").agg(F.count("*").cast("int").alias("common"), F.max("need").alias("need"), F.max("early").alias("early"))
+    return counted.where("early AND common >= need").select("a", "b")
 
 
 def release(spark) -> None:
@@ -155,19 +155,22 @@ def candidate_sets(docs: DataFrame, texts: DataFrame, n: int, threshold: float)
     order = docs.sparkSession.sparkContext.broadcast(ranks(sketch(texts.select("text"), n)))
     found = cut(prefixes(texts, order, n, threshold))
     rows = cut(found.drop("prefix"))
-    # One row stands for each group: the others are named, and don't enter the join.
+    # One row stands for each group; its number is small, so that pairs of numbers are as well.
     key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
-    alone = rows.groupBy("p1", "p2", "size").agg(F.min(key).alias("best"), F.count("*").alias("many")).where("many > 1")
-    others = cut(rows.join(alone, ["p1", "p2", "size"]).where(key != F.col("best")).select(F.col("doc_id").alias("other"), F.col("t").alias("other_t")))
-    groups = found.join(small(others), F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("t") == F.col("other_t")), "left_anti")
+    named = rows.groupBy("p1", "p2", "size").agg(F.min(key).alias("best"))
+    named = cut(cut(named).withColumn("gid", F.monotonically_increasing_id()))
+    chosen = small(named.select(F.col("best.d").alias("best_id"), F.col("best.t").alias("best_t"), "gid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("size").alias("qsize")))
+    same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("t") == F.col("best_t")) & (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2")) & (F.col("size") == F.col("qsize"))
+    groups = found.join(chosen, same).select("gid", "size", "prefix")
     total = rows.agg(F.sum(F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).alias("n")).first()["n"] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(total) // TASK_ENTRIES)
     pairs = candidates(groups, threshold, tasks)
-    sets = rows.groupBy("p1", "size", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    left = sets.select(F.col("p1").alias("a"), F.col("h1").alias("ah1"), F.col("h2").alias("ah2"), F.col("size").alias("asize"))
-    right = sets.select(F.col("p1").alias("b"), F.col("h1").alias("bh1"), F.col("h2").alias("bh2"), F.col("size").alias("bsize"))
-    across = pairs.join(left, ["a", "asize"]).join(right, ["b", "bsize"]).select("ah1", "ah2", "asize", "bh1", "bh2", "bsize")
-    inner = left.join(right, (F.col("a") == F.col("b")) & (F.col("asize") == F.col("bsize")) & (F.struct("ah1", "ah2") < F.struct(F.col("bh1").alias("ah1"), F.col("bh2").alias("ah2"))))
+    numbers = named.select("p1", "p2", "size", "gid")
+    sets = cut(rows.groupBy("p1", "p2", "size", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).join(small(numbers), ["p1", "p2", "size"]).select("gid", "size", "h1", "h2", "doc_id"))
+    side = lambda x: sets.select(F.col("gid").alias(x), F.col("h1").alias(f"{x}h1"), F.col("h2").alias(f"{x}h2"), F.col("size").alias(f"{x}size"))
+    left, right = side("a"), side("b")
+    across = pairs.join(small(left), "a").join(small(right), "b").select("ah1", "ah2", "asize", "bh1", "bh2", "bsize")
+    inner = left.join(right, (F.col("a") == F.col("b")) & (F.struct("ah1", "ah2") < F.struct(F.col("bh1").alias("ah1"), F.col("bh2").alias("ah2"))))
     todo = cut(across.unionByName(inner.select(*across.columns)))
     return rows, sets, todo
 
@@ -247,7 +250,8 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     greatest is given; an empty table gives no rows; extra columns are ignored.
     """
     rows, pairs = verified(docs, n, threshold)
-    own = rows.where("doc_id IS NOT NULL").select("doc_id", "h1", "h2").distinct()
+    own = cut(rows.where("doc_id IS NOT NULL").select("doc_id", "h1", "h2").distinct())
+    own = small(own)
     a = own.select(F.col("doc_id").alias("x"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     b = own.select(F.col("doc_id").alias("y"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     far = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where("x <> y").select("x", "y", "jaccard")
