@@ -14,12 +14,15 @@ STOP_WORDS = (
     "le les des et est une du pour dans qui au sur par plus ne pas"
 ).split()
 
+#: Words under which a document is too short to tell by its stop words; its stop_ratio is 1.
+STOP_LEAST = 20
+
 #: Rule, measure, least and most value (None: no bound). A document must meet all of them.
 RULES: list[tuple[str, str, float | None, float | None]] = [
     ("few_words", "n_words", 3, None),
     ("word_length", "mean_word_length", 1.5, 12.0),
     ("symbols", "symbol_ratio", None, 0.1),
-    ("no_letters", "alpha_ratio", 0.5, None),
+    ("no_letters", "alpha_ratio", 0.3, None),
     ("capitals", "upper_ratio", None, 0.5),
     ("no_stop_words", "stop_ratio", 0.02, None),
     ("repeated_words", "repeat_ratio", None, 0.5),
@@ -45,7 +48,7 @@ def measures(text) -> dict[str, "F.Column"]:
         "symbol_ratio": part(count("[#$%&*^~<>{}\\\\[\\\\]|\\\\\\\\]".replace("\\\\", "\\")), n),
         "alpha_ratio": part(count("[\\p{L}]"), chars),
         "upper_ratio": part(count("[\\p{Lu}]"), chars),
-        "stop_ratio": part(F.expr(f"size(filter(words, w -> w IN ({stops})))").cast("double"), n),
+        "stop_ratio": F.when(n >= STOP_LEAST, part(F.expr(f"size(filter(words, w -> rtrim('.,;:?', w) IN ({stops})))").cast("double"), n)).otherwise(1.0),
         "repeat_ratio": part(F.expr("size(filter(words, (w, i) -> i > 0 AND w = words[i - 1]))").cast("double"), n),
         "bar_ratio": part(F.expr("size(filter(words, w -> w = '|'))").cast("double"), n),
         "dup_line_ratio": part(lines - F.size(F.array_distinct("lines")).cast("double"), lines),
@@ -59,7 +62,7 @@ def check(docs: DataFrame, rules: list[tuple[str, str, float | None, float | Non
 
     Words are runs without white space, compared in lower case; lines are what line feeds divide,
     without empty ones. Defined cases: a null text counts as an empty one, of which every measure
-    is 0 (so it fails few_words and others); ratios with nothing to divide by are 0; a null doc_id
+    but stop_ratio is 0 (so it fails few_words and others); ratios with nothing to divide by are 0; a null doc_id
     stays null; repeated rows are judged alike; an empty table gives no rows; extra columns are
     ignored.
     """
@@ -90,7 +93,7 @@ def _oracle() -> str:
         "symbol_ratio": part(count("[#$%&*^~<>{}\\[\\]|\\\\]"), "n"),
         "alpha_ratio": part(count("[\\p{L}]"), "chars"),
         "upper_ratio": part(count("[\\p{Lu}]"), "chars"),
-        "stop_ratio": part(f"len(list_filter(words, lambda w: w IN ({stops})))", "n"),
+        "stop_ratio": f"CASE WHEN n >= {STOP_LEAST} THEN " + part(f"len(list_filter(words, lambda w: rtrim(w, '.,;:?') IN ({stops})))", "n") + " ELSE 1.0::DOUBLE END",
         "repeat_ratio": part("len(list_filter(list_zip(words[2:], words[:-2]), lambda z: z[1] = z[2]))", "n"),
         "bar_ratio": part("len(list_filter(words, lambda w: w = '|'))", "n"),
         "dup_line_ratio": part("len(lines) - len(list_distinct(lines))", "len(lines)"),
