@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_queries, table_queries
+from . import code_queries, index_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**table_queries.QUERIES, **code_queries.QUERIES}
-ORACLES: dict[str, str] = {**table_queries.ORACLES, **code_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**table_queries.QUERIES, **code_queries.QUERIES, **index_queries.QUERIES}
+ORACLES: dict[str, str] = {**table_queries.ORACLES, **code_queries.ORACLES, **index_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,12 @@ class Reader:
             if name not in _WORDS:
                 self._add("call", "ref", name, at + m.start(), at + m.end(), line, frames, receiver=receiver if receiver and re.fullmatch(_PATH, receiver) else None)
 
+    def _head(self, path: str, at: int, line: int, frames: list[_Frame]) -> None:
+        """References to what a defined path stands in."""
+        head = path.rpartition("::")[0]
+        if head:
+            self._refs(head, at, line, frames)
+
     def _variables(self, text: str, at: int, line: int, frames: list[_Frame]) -> None:
         in_method = any(f.kind == "def" for f in frames)
         for m in re.finditer(r"(@@|@|\$)([A-Za-z_]\w*)\s*(?:\|\||&&|[-+*/|&])?=(?![=~>])", text):
@@ -166,6 +172,7 @@ class Reader:
             return
         if m := re.match(rf"(class|module)\s+({_PATH})\s*(?:<\s*(.+?))?\s*$", s):
             up = None
+            self._head(m[2], at + m.start(2), line, frames)
             if m[1] == "class" and m[3]:
                 if c := re.match(_PATH, m[3]):
                     up = c.group()
@@ -243,6 +250,7 @@ class Reader:
         if m := re.match(rf"((?:{_PATH}\s*,\s*)*{_PATH})\s*(\|\|)?=(?![=~>])\s*(.*)$", s):
             value = m[3].strip()
             for n in [x.strip() for x in m[1].split(",")]:
+                self._head(n, at, line, frames)
                 if re.fullmatch(_PATH, value):
                     self._add("definition", "ConstantAlias", n, at, at + len(s), line, frames, target=value, **common)
                 else:
