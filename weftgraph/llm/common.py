@@ -46,6 +46,17 @@ def pick(df: DataFrame, *wanted: str) -> DataFrame:
     return out.select(*[F.col(where[w]).alias(w) for w in wanted])
 
 
+#: Rows of an Arrow batch where whole texts go to Python, in place of Spark's default of 10,000.
+BATCH_ROWS = 2_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, as texts are long, unless the session asks for some number itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

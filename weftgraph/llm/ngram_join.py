@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import GRAM_CODES, WORD_BYTE, chunks, gram_hashes, mix, span_hashes, spans
-from .common import cut, flat, pick, small
+from .common import cut, flat, modest_batches, pick, small
 
 N, THRESHOLD = 3, 0.6
 #: Cells of the sketch, a power of two; n-grams of the sets that one verifying task takes, about; and
@@ -85,6 +85,7 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 def prepared(docs: DataFrame) -> DataFrame:
     """(doc_id, t: hash of the text, text in lower case) of the rows that have a text."""
+    modest_batches(docs.sparkSession)
     texts = pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
     return texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.lower("text").alias("text"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import GRAM_CODES, SOLID_BYTE, chunks, mix, span_hashes, spans
-from .common import flat, pick
+from .common import flat, modest_batches, pick
 
 #: Hashed features (a power of two), labelled documents to fit on, and the model's settings.
 FEATURES, SAMPLE = 1 << 18, 6_000
@@ -134,6 +134,7 @@ def model_for(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[str, str]]:
     """docs with positional columns and score (null for a null text)."""
+    modest_batches(docs.sparkSession)
     out, where, _ = flat(docs)
     model = docs.sparkSession.sparkContext.broadcast(model_for(docs, labels, sample))
     place = int(where["text"][1:])
