@@ -4,7 +4,9 @@ Each rule's regular expression is turned into a Boolean query over trigrams that
 hold. Every batch of documents is an index segment: its bytes' trigrams, as far as any rule asks
 for them, give postings (trigram -> sorted rows); a rule's query is answered by intersecting and
 uniting postings, and the expression itself runs on the candidates only. Rules from which no
-mandatory trigram follows scan every document. Segments are independent, so nothing is shuffled.
+mandatory trigram follows scan every document. A rule that takes a letter in either case asks for
+trigrams in lower case, which are looked up in a second segment of the bytes in lower case.
+Segments are independent, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,12 @@ from pyspark.sql import functions as F
 from .bytesets import chunks
 from .common import pick
 
+
+def either(word: str) -> str:
+    """The pattern of a word in ASCII letters of any case; what (?i) adds beyond ASCII differs between Python and RE2."""
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else re.escape(c) for c in word)
+
+
 #: Patterns whose meaning is the same in Python and in RE2.
 RULES: dict[str, str] = {
     "aws_key": "(?:AKIA|ASIA)[0-9A-Z]{16}",
@@ -32,9 +40,9 @@ RULES: dict[str, str] = {
     "google_key": "AIza[0-9A-Za-z_-]{35}",
     "stripe_key": "sk_live_[0-9A-Za-z]{16,64}",
     "jwt": "eyJ[A-Za-z0-9_-]{8,200}[.]eyJ[A-Za-z0-9_-]{8,200}",
-    "assigned": "(?:token|secret|password|api_key|apikey|passwd) ?[=:] ?[\"'][A-Za-z0-9_/+.-]{8,80}[\"']",
+    "assigned": f"(?:{'|'.join(map(either, ('token', 'secret', 'password', 'api_key', 'apikey', 'passwd')))})" + " ?[=:] ?[\"'][A-Za-z0-9_/+.-]{8,80}[\"']",
     "basic_auth": "[a-z]{3,6}://[A-Za-z0-9_.-]{1,40}:[A-Za-z0-9_.-]{3,40}@",
-    "hex_key": "[0-9a-f]{40}",
+    "hex_key": "[0-9A-Fa-f]{40}",
 }
 
 #: A query is True (anything), ("tri", t), ("and", [...]) or ("or", [...]).
@@ -82,19 +90,26 @@ NOTHING = ({b""}, {b""}, {b""}, True)
 ANYTHING = (None, {b""}, {b""}, True)
 
 
-def _info(items) -> tuple:
+#: ASCII letters that (?i) also finds in other characters (the long s, the Kelvin sign, the Turkish i's).
+BEYOND = frozenset("ksi")
+
+
+def _info(items, fold: bool = False, ignore: bool = False) -> tuple:
+    """fold: of matches in lower case (ASCII letters only); ignore: inside (?i)."""
     out = NOTHING
+    lower = (lambda s: s.lower()) if fold else (lambda s: s)
     for op, value in items:
-        if op is K.LITERAL:
-            s = chr(value).encode()
-            one = ({s}, {s}, {s}, True)
-        elif op is K.IN and all(o is K.LITERAL for o, _ in value) and len(value) <= 8:
-            s = {chr(v).encode() for _, v in value}
+        chars = [chr(value)] if op is K.LITERAL else [chr(v) for o, v in value if o is K.LITERAL] if op is K.IN else []
+        if ignore and any(not c.isascii() or c.lower() in BEYOND for c in chars):
+            one = ANYTHING
+        elif op is K.LITERAL or op is K.IN and len(chars) == len(value) <= 8:
+            s = {lower(c.encode()) for c in chars}
             one = (s, s, s, True)
         elif op is K.SUBPATTERN:
-            one = ANYTHING if value[1] & re.IGNORECASE else _info(value[3])
+            inside = ignore or bool(value[1] & re.IGNORECASE)
+            one = ANYTHING if inside and not fold else _info(value[3], fold, inside)
         elif op is K.BRANCH:
-            parts = [_info(b) for b in value[1]]
+            parts = [_info(b, fold, ignore) for b in value[1]]
             if all(p[0] is not None for p in parts) and sum(len(p[0]) for p in parts) <= MOST_STRINGS:
                 s = set().union(*(p[0] for p in parts))
                 one = (s, s, s, _any([_all([p[3], _strings(p[0])]) for p in parts]))
@@ -102,7 +117,7 @@ def _info(items) -> tuple:
                 one = (None, *({x for p in parts for x in p[i]} for i in (1, 2)), _any([_settle(p) for p in parts]))
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
             low, high, body = value
-            inner = _info(body)
+            inner = _info(body, fold, ignore)
             if low == 0:
                 one = ({b""} | inner[0],) * 3 + (True,) if high == 1 and inner[0] is not None else ANYTHING
             else:
@@ -127,6 +142,39 @@ def trigram_query(pattern: str):
     return _settle(_info(parsed))
 
 
+def folded_query(pattern: str):
+    """The trigram query, in lower case, that every match must hold once its ASCII letters are in lower case; (?i) is taken too."""
+    parsed = _parser.parse(pattern)
+    return _settle(_info(parsed, True, bool(parsed.state.flags & re.IGNORECASE)))
+
+
+def caseless(items) -> bool:
+    """Does the parsed expression ask for (?i) or for a letter in either case, such as [Tt]?"""
+    for op, value in items:
+        if op is K.SUBPATTERN:
+            if value[1] & re.IGNORECASE or caseless(value[3]):
+                return True
+        elif op is K.BRANCH:
+            if any(map(caseless, value[1])):
+                return True
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            if caseless(value[2]):
+                return True
+        elif op is K.IN and all(o is K.LITERAL for o, _ in value):
+            found = {chr(v) for _, v in value}
+            if any(c.isascii() and c.isalpha() and c.swapcase() in found for c in found):
+                return True
+    return False
+
+
+def ask(pattern: str) -> tuple[bool, object]:
+    """(are the trigrams looked up in the folded segment, the query)."""
+    parsed = _parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE or caseless(parsed):
+        return True, folded_query(pattern)
+    return False, trigram_query(pattern)
+
+
 def vocabulary(query) -> set[bytes]:
     if query is True:
         return set()
@@ -179,25 +227,31 @@ def scan(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     doc_id stays null; repeated rows are scanned each for itself; matches of several rules at one
     place are all reported; an empty table gives no rows; extra columns are ignored.
     """
-    asks = {name: trigram_query(p) for name, p in rules.items()}
-    words = sorted(set().union(*(vocabulary(q) for q in asks.values())))
-    if len(words) > 65_000:
-        raise ValueError("the rules ask for too many trigrams")
-    wanted = {t: i + 1 for i, t in enumerate(words)}
+    asks = {name: ask(p) for name, p in rules.items()}
+    wanted: dict[bool, dict[bytes, int]] = {}
+    for fold in (False, True):
+        words = sorted(set().union(*(vocabulary(q) for f, q in asks.values() if f == fold)))
+        if len(words) > 65_000:
+            raise ValueError("the rules ask for too many trigrams")
+        wanted[fold] = {t: i + 1 for i, t in enumerate(words)}
+    # Capitals to small letters; all other bytes as they are.
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << 24, np.uint16)
-        for t, i in wanted.items():
-            flags[int.from_bytes(t, "big")] = i
+        flags = {fold: np.zeros(1 << 24, np.uint16) for fold, own in wanted.items() if own}
+        for fold, own in flags.items():
+            for t, i in wanted[fold].items():
+                own[int.from_bytes(t, "big")] = i
         compiled = {name: re.compile(p) for name, p in rules.items()}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             out: list[tuple] = []
             for lo, hi, raw, at in chunks(texts):
-                postings, everything = segment(raw, at, wanted, flags), np.arange(hi - lo)
+                postings, everything = {fold: segment(lower[raw] if fold else raw, at, wanted[fold], own) for fold, own in flags.items()}, np.arange(hi - lo)
                 decoded: dict[int, str] = {}
-                for name, ask in asks.items():
-                    for row in answer(ask, postings, everything).tolist():
+                for name, (fold, query) in asks.items():
+                    for row in answer(query, postings.get(fold, {}), everything).tolist():
                         text = decoded.get(row)
                         if text is None:
                             text = decoded[row] = raw[at[row] : at[row + 1]].tobytes().decode()
