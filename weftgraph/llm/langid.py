@@ -2,8 +2,8 @@
 
 The network reads windows of WINDOW bytes in both directions and labels every byte; the bytes'
 log probabilities are averaged over the document and normalised to its probabilities. It is
-trained here, in numpy, by backpropagation through time, on a bounded sample of documents whose
-language is known; a document's windows together cover all its bytes.
+trained here, in numpy, by backpropagation through time, on a bounded sample of each language's
+documents, the languages being all that the table names; a document's windows together cover all its bytes.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from .bytesets import chunks
 from .common import pick
 
 WINDOW, HIDDEN = 96, 12
-#: Documents to train on (the least hashes of their ids), windows of each, and the training's settings.
+#: Documents of each language to train on (those of least hashes), windows of each, and the training's settings.
 SAMPLE, PER_DOC, BATCH, STEPS, RATE = 1_500, 4, 128, 260, 0.02
+#: Documents to train on in all; they give more windows than the training draws, whatever the number of languages.
+MOST = 12_000
 
 Params = dict[str, np.ndarray]
 
@@ -178,16 +180,30 @@ def label_bytes(p: Params, texts: pa.Array, window: int = WINDOW, most: int = 20
 
 
 def model_for(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> tuple[list[str], Params] | None:
-    """(languages, network) from the documents whose lang is known; None if there are none."""
-    known = pick(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang").limit(sample)
-    ids = ids.distinct().select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
-    rows = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")))
-    # A window is drawn from these bytes; the text itself is not cut anywhere else.
-    got = sorted((r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows.select("doc_id", "lang", "text").toLocalIterator())
-    languages = sorted({r[0] for r in got})
-    if not languages:
+    """(languages, network) from the documents whose lang is known; None if there are none.
+
+    The languages are those of the whole table, however rare. Of each, up to `sample` documents
+    are trained on, those of least hashes, or fewer where that makes more than MOST in all.
+    Repeated rows count once.
+    """
+    known = pick(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("key", F.xxhash64("doc_id", "lang", "text"))
+    many = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    if not many:
         return None
+    languages = sorted(many)
+    sample = min(sample, -(-MOST // len(languages)))
+
+    def under(bounds: dict[str, int]) -> DataFrame:
+        table = docs.sparkSession.createDataFrame(sorted(bounds.items()), "l string, bound long")
+        return known.join(F.broadcast(table), F.col("lang") == F.col("l")).where("key <= bound")
+
+    # First the keys under a bound that about twice as many pass, then the texts under the sample's exact one.
+    keys: dict[str, set[int]] = {}
+    for lang, key in under({k: min((2 * sample + 200 << 64) // n, (1 << 64) - 1) - (1 << 63) for k, n in many.items()}).select("lang", "key").distinct().collect():
+        keys.setdefault(lang, set()).add(key)
+    rows = under({k: sorted(v)[:sample][-1] for k, v in keys.items()})
+    # A window is drawn from these bytes; the text itself is not cut anywhere else.
+    got = sorted({(r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows.select("doc_id", "lang", "text").toLocalIterator()})
     return languages, train([r[2].encode() for r in got], [languages.index(r[0]) for r in got], len(languages), steps=steps)
 
 
