@@ -36,12 +36,12 @@ RULES: dict[str, str] = {
     "aws_key": "(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github_token": "gh[pousr]_[A-Za-z0-9]{36}",
     "private_key": "-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
-    "slack_token": "xox[baprs]-[0-9A-Za-z-]{10,48}",
+    "slack_token": "xox[baprs]-[0-9A-Za-z-]{10,}",
     "google_key": "AIza[0-9A-Za-z_-]{35}",
-    "stripe_key": "sk_live_[0-9A-Za-z]{16,64}",
-    "jwt": "eyJ[A-Za-z0-9_-]{8,200}[.]eyJ[A-Za-z0-9_-]{8,200}",
-    "assigned": f"(?:{'|'.join(map(either, ('token', 'secret', 'password', 'api_key', 'apikey', 'passwd')))})" + " ?[=:] ?[\"'][A-Za-z0-9_/+.-]{8,80}[\"']",
-    "basic_auth": "[a-z]{3,6}://[A-Za-z0-9_.-]{1,40}:[A-Za-z0-9_.-]{3,40}@",
+    "stripe_key": "sk_live_[0-9A-Za-z]{16,}",
+    "jwt": "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}(?:[.][A-Za-z0-9_-]+)?",
+    "assigned": f"(?:{'|'.join(map(either, ('token', 'secret', 'password', 'api_key', 'apikey', 'passwd')))})" + " ?[=:] ?[\"'][A-Za-z0-9_/+.=-]{8,}[\"']",
+    "basic_auth": "[a-z]{3,6}://[A-Za-z0-9_.-]+:[A-Za-z0-9_.-]{3,}@",
     "hex_key": "[0-9A-Fa-f]{40}",
 }
 
