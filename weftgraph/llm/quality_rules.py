@@ -18,6 +18,7 @@ STOP_WORDS = (
 STOP_LEAST = 20
 
 #: Rule, measure, least and most value (None: no bound). A document must meet all of them.
+#: A text whose every word is doubled has a repeat_ratio of 0.5.
 RULES: list[tuple[str, str, float | None, float | None]] = [
     ("few_words", "n_words", 3, None),
     ("word_length", "mean_word_length", 1.5, 12.0),
@@ -25,7 +26,7 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
     ("no_letters", "alpha_ratio", 0.3, None),
     ("capitals", "upper_ratio", None, 0.5),
     ("no_stop_words", "stop_ratio", 0.02, None),
-    ("repeated_words", "repeat_ratio", None, 0.5),
+    ("repeated_words", "repeat_ratio", None, 0.4),
     ("bars", "bar_ratio", None, 0.1),
     ("repeated_lines", "dup_line_ratio", None, 0.6),
     ("bullets", "bullet_ratio", None, 0.9),
