@@ -47,7 +47,11 @@ def linearize(namespaces: DataFrame, mixins: DataFrame, few: int = FEW) -> DataF
     kind of a mixin: include or prepend. superclass: a name; null for modules and the root; a name
     that isn't among the namespaces stays in the chain as a partial entry '?Name', and so does a
     mixin's. Namespaces on a cycle take what could be resolved without going round, and are cyclic.
+    Mixins without a target and namespaces without a name don't count; a name that repeats is one
+    namespace, with a superclass if one of its rows has one (the last by name).
     """
+    namespaces = namespaces.where("name IS NOT NULL").groupBy("name").agg(F.max(F.struct("superclass", "kind")).alias("s")).select("name", "s.kind", "s.superclass")
+    mixins = mixins.where("target IS NOT NULL")
     spaces = namespaces.select("name", "kind", "superclass").limit(few + 1).collect()
     mixed = mixins.select("name", "ord", "kind", "target").limit(few + 1).collect() if len(spaces) <= few else []
     if len(spaces) <= few and len(mixed) <= few:

@@ -78,8 +78,9 @@ ASKS = [("Dog", "speak()", False), ("Dog", "speak()", True), ("Dog", "walk()", F
 SPACES = [
     ("BasicObject", "Class", None), ("Kernel", "Module", None), ("Object", "Class", "BasicObject"), ("Foo", "Class", "Object"), ("Bar", "Class", "Foo"), ("Pre", "Module", None), ("PreIn", "Module", None), ("Inc", "Module", None), ("IncIn", "Module", None),
     ("A", "Module", None), ("B", "Module", None), ("C", "Module", None), ("Fan", "Module", None), ("Me", "Module", None), ("X", "Class", "Y"), ("Y", "Class", "Z"), ("Z", "Class", "X"), ("Part", "Class", "Missing"), ("Mix", "Class", "Object"),
+    ("Foo", "Class", "Object"), ("Bar", "Class", None), ("A", "Module", None),
 ]
-MIXINS = [("Object", 0, "include", "Kernel"), ("Bar", 0, "prepend", "Pre"), ("Bar", 1, "include", "Inc"), ("Pre", 0, "prepend", "PreIn"), ("Inc", 0, "include", "IncIn"), ("B", 0, "include", "A"), ("C", 0, "include", "A"), ("Fan", 0, "include", "B"), ("Fan", 1, "include", "C"), ("Me", 0, "include", "Me"), ("Mix", 0, "include", "Gone"), ("Mix", 1, "include", "A"), ("Foo", 0, "include", "A"), ("Foo", 1, "include", "A")]
+MIXINS = [("Object", 0, "include", "Kernel"), ("Bar", 0, "prepend", "Pre"), ("Bar", 1, "include", "Inc"), ("Pre", 0, "prepend", "PreIn"), ("Inc", 0, "include", "IncIn"), ("B", 0, "include", "A"), ("C", 0, "include", "A"), ("Fan", 0, "include", "B"), ("Fan", 1, "include", "C"), ("Me", 0, "include", "Me"), ("Mix", 0, "include", "Gone"), ("Mix", 1, "include", "A"), ("Foo", 0, "include", "A"), ("Foo", 1, "include", "A"), ("Foo", 2, "include", None), ("Fan", 2, "prepend", None)]
 CHAIN_RESULT = {
     "BasicObject": ("complete", "BasicObject"), "Kernel": ("complete", "Kernel"), "Object": ("complete", "Object Kernel BasicObject"), "Foo": ("complete", "Foo A Object Kernel BasicObject"),
     "Bar": ("complete", "PreIn Pre Bar Inc IncIn Foo A Object Kernel BasicObject"), "Pre": ("complete", "PreIn Pre"), "PreIn": ("complete", "PreIn"), "Inc": ("complete", "Inc IncIn"), "IncIn": ("complete", "IncIn"),
