@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a table may have to be broadcast, as its rows and the widths of its columns say.
-BROADCAST_BYTES = 64_000_000
+BROADCAST_BYTES = 16_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,7 +52,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def width(df: DataFrame) -> int:
-    """Bytes of a row in memory, about; columns without a fixed width count as 40."""
+    """Bytes of a row in a hash table, about; columns without a fixed width count as 40."""
 
     def of(kind) -> int:
         name = kind.typeName()
@@ -60,7 +60,7 @@ def width(df: DataFrame) -> int:
             return sum(of(f.dataType) for f in kind.fields)
         return 8 if name in ("byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz") else 40
 
-    return 16 + sum(of(f.dataType) for f in df.schema.fields)
+    return 96 + sum(of(f.dataType) for f in df.schema.fields)
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
