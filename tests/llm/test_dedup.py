@@ -65,23 +65,58 @@ def corpus(seed, n=150):
     return rows
 
 
+def brute(rows, threshold=ngram_join.THRESHOLD):
+    """(doc_id, class_id, n_links) of each row."""
+    s = [x for _, x in sorted(sets([(k, t) for k, (_, t) in enumerate(rows)]).items())]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if s[a] and s[b] and len(s[a] & s[b]) >= threshold * len(s[a] | s[b]):
+            links[a], links[b] = links[a] + 1, links[b] + 1
+            root[find(b)] = find(a)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return sorted(((i, least.get(find(k)), n) for k, ((i, _), n) in enumerate(zip(rows, links))), key=str)
+
+
 def test_join_against_brute_force(docs):
     for seed, threshold in ((1, 0.6), (2, 0.3), (3, 0.9)):
         rows = corpus(seed)
-        s = sets(rows)
-        want = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a, b in itertools.combinations(range(len(rows)), 2)}
-        want = {k: v for k, v in want.items() if v >= threshold}
-        got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.similar_pairs(docs(rows), threshold=threshold).collect()}
-        assert got == want and len(want) > 30
-
-
-def test_join_odd_rows(docs):
-    got = {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(docs(ODD, CLASHING)).collect()}
-    assert got == {(1, 2), (8, 9), (8, 10), (9, 10)}
-    assert ngram_join.similar_pairs(docs([])).count() == 0
-    assert ngram_join.similar_pairs(docs([(1, None), (2, ""), (3, "")])).count() == 0
+        got = ngram_join.linked(docs(rows), threshold=threshold).collect()
+        want = brute(rows, threshold)
+        assert sorted(map(tuple, got), key=str) == want and sum(n for *_, n in want) > 60
+
+
+def test_join_with_hot_ngrams(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_RANK", 16)
+    rows = corpus(6)
+    assert sorted(map(tuple, ngram_join.linked(docs(rows)).collect()), key=str) == brute(rows)
+
+
+def test_join_without_broadcasts(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "small", lambda df: df)
+    rows = corpus(7) + ODD
+    assert sorted(map(tuple, ngram_join.linked(docs([r[:2] for r in rows])).collect()), key=str) == brute([r[:2] for r in rows])
+
+
+def test_join_odd_rows(spark, docs):
+    want = brute([r[:2] for r in ODD])
+    assert sorted(map(tuple, ngram_join.linked(docs(ODD, CLASHING)).collect()), key=str) == want
+    assert (None, 1, 3) in want and (None, None, 0) in want and (4, 4, 0) in want
+    assert ngram_join.linked(docs([])).count() == 0
+    assert [tuple(r) for r in ngram_join.linked(docs([(1, None), (2, ""), (3, "")])).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
     twice = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i k"), (2, "a b c d e f g h i j")]
-    assert [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.similar_pairs(docs(twice)).collect()] == [(1, 2, 1.0)]
+    assert sorted(map(tuple, ngram_join.linked(docs(twice)).collect()), key=str) == brute(twice)
+    named = spark.createDataFrame([("x", "one two three four"), ("w", "one two three four"), ("v", None)], "doc_id string, text string")
+    assert sorted(map(tuple, ngram_join.linked(named).collect())) == [("v", "v", 0), ("w", "w", 1), ("x", "w", 1)]
+    assert sorted(r.doc_id for r in ngram_join.deduplicated(named).collect()) == ["v", "w"]
 
 
 def test_one_of_each_group_stays(docs):

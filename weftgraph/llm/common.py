@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-from pathlib import Path
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, discard, shared_dir, small  # noqa: F401
+
 # Executors get the functions of this folder with the task, whether or not they have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
-#: Rows of a decision table (ids, not texts) up to which it may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
 #: What counts as white space between tokens, alike in Spark and in the SQL twins.
 TOKEN = "[^ \\t\\n\\r]+"
 
@@ -57,28 +54,6 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if found is None and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="weft-")).as_uri())
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(found)
-    return found or context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that later jobs neither recompute it nor need its executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, which the caller has cut, to be broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def n_tokens(text: Column) -> Column:
     """Number of runs without white space; 0 for a null."""
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, TOKEN, cut, flat, n_tokens
+from .common import TOKEN, cut, flat, n_tokens, small
 
 SEED = "mix-1"
 
@@ -54,9 +54,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, tokens: float
     out, where, _ = flat(docs)
     out = out.withColumn("n_tokens", n_tokens(F.col(where["text"])))
     own = cut(rates(out.select(F.col(where["source"]).alias("source"), "n_tokens"), weights, tokens))
-    few = own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     r = own.select(F.col("source").alias("mix_source"), "rate")
-    joined = out.join(F.broadcast(r) if few else r, F.col(where["source"]).eqNullSafe(F.col("mix_source")))
+    joined = out.join(small(r), F.col(where["source"]).eqNullSafe(F.col("mix_source")))
     key = F.coalesce(F.col(where["doc_id"]).cast("string"), F.col(where["text"]), F.lit(""))
     whole = F.floor("rate")
     copies = (whole + F.when(draw(key, seed) < F.col("rate") - whole, 1).otherwise(0)).cast("int")

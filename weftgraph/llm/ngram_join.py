@@ -7,27 +7,31 @@ order share an n-gram. Sets with identical prefix and size are collapsed into on
 that share a prefix n-gram are joined under size and position filters; surviving pairs of groups
 are expanded to their members and each pair of members is verified on its complete sets.
 
-Rows enter as (doc_id, 128-bit fingerprint of the set), so equal sets are verified once.
+Rows enter as (doc_id, 128-bit fingerprint of the set), so equal sets are verified once, and the
+result has a row for each document, so that it grows with the input and not with its pairs.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytesets import GRAM_CODES, WORD_BYTE, chunks, gram_hashes, mix, span_hashes, spans
-from .common import cut, flat, modest_batches, pick, small
+from .common import cut, discard, flat, modest_batches, pick, small
 
 N, THRESHOLD = 3, 0.6
 #: Cells of the sketch, a power of two; n-grams of the sets that one verifying task takes, about; and
-#: prefix n-grams that one joining task takes, about (128 MB of rows). A pair is counted once in each
+#: prefix n-grams that one joining task takes, about. A pair is counted once in each
 #: task that has some of its n-grams, so these are not smaller than need be.
-CELLS, TASK_GRAMS, TASK_ENTRIES = 1 << 20, 2_000_000, 3_000_000
+CELLS, TASK_GRAMS, TASK_ENTRIES = 1 << 20, 2_000_000, 1_500_000
+#: Rank from which on an n-gram of a prefix is hot: its cell has 32,768 occurrences or more.
+HOT_RANK = 8 * 15
 
 
 def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -84,95 +88,116 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """(doc_id, t: hash of the text, text in lower case) of the rows that have a text."""
+    """(doc_id, t: hash of the text, key: of both, text in lower case, a null one as empty) of all rows."""
     modest_batches(docs.sparkSession)
-    texts = pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
-    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.lower("text").alias("text"))
+    texts = pick(docs, "doc_id", "text").withColumn("t", F.xxhash64("text"))
+    return texts.select("doc_id", "t", F.xxhash64("doc_id", "t").alias("key"), F.coalesce(F.lower("text"), F.lit("")).alias("text"))
 
 
 def prefixes(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
-    """(doc_id, t, h1, h2, size, p1, p2, prefix) of the rows that have an n-gram: the set's and its prefix's fingerprints, and the prefix in the global order."""
+    """(doc_id, t, key, h1, h2, size, p1, p2, top, prefix) of each row.
+
+    h1, h2 and p1, p2 are the fingerprints of the set and of its prefix in the global order, top is the
+    prefix's greatest rank. All are 0 for a text without words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
         for batch in batches:
-            for lo, sets in gram_sets(batch.column(2), n):
-                rows = [i for i, s in enumerate(sets) if len(s)]
-                if not rows:
-                    continue
-                sets = [sets[i] for i in rows]
+            for lo, sets in gram_sets(batch.column(3), n):
                 sizes = np.array([len(s) for s in sets])
-                every = np.concatenate(sets)
-                tokens = rank[(every & np.uint64(CELLS - 1)).astype(np.int64)] | (every >> np.uint64(8))
-                begin = np.concatenate(([0], np.cumsum(sizes)))
-                found = []
-                for i, size in enumerate(sizes):
-                    token = tokens[begin[i] : begin[i + 1]]
-                    token.sort()
-                    found.append(token[: size - needed(size, threshold) + 1])
-                kept = np.array([len(f) for f in found])
-                flat_ = np.concatenate(found)
-                marks = [*fingerprints(every, begin), sizes, *fingerprints(flat_, np.concatenate(([0], np.cumsum(kept))))]
-                own = batch.take(pa.array([lo + i for i in rows]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32()), pa.array(flat_.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(c, pa.int64()) for c in marks), lists], names)
-
-    names = ["doc_id", "t", "h1", "h2", "size", "p1", "p2", "prefix"]
-    return texts.mapInArrow(run, "doc_id long, t long, h1 long, h2 long, size long, p1 long, p2 long, prefix array<long>")
-
-
-def candidates(groups: DataFrame, threshold: float, tasks: int) -> DataFrame:
+                some = np.flatnonzero(sizes)
+                marks = np.zeros((6, len(sets)), np.int64)
+                found = [np.empty(0, np.uint64)] * len(sets)
+                marks[2] = sizes
+                if len(some):
+                    every = np.concatenate(sets)
+                    tokens = rank[(every & np.uint64(CELLS - 1)).astype(np.int64)] | (every >> np.uint64(8))
+                    begin = np.concatenate(([0], np.cumsum(sizes)))
+                    for i in some:
+                        token = tokens[begin[i] : begin[i + 1]]
+                        token.sort()
+                        found[i] = token[: sizes[i] - needed(sizes[i], threshold) + 1]
+                        marks[5, i] = int(found[i][-1]) >> 56
+                    kept = np.concatenate(([0], np.cumsum([len(found[i]) for i in some])))
+                    marks[0, some], marks[1, some] = fingerprints(every, np.append(begin[some], len(every)))
+                    marks[3, some], marks[4, some] = fingerprints(np.concatenate(found), kept)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                own = batch.slice(lo, len(sets))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), *(pa.array(c, pa.int64()) for c in marks), lists], names)
+
+    names = ["doc_id", "t", "key", "h1", "h2", "size", "p1", "p2", "top", "prefix"]
+    fields = [T.StructField(k, T.LongType()) for k in names[1:-1]]
+    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *fields, T.StructField("prefix", T.ArrayType(T.LongType()))])
+    return texts.select("doc_id", "t", "key", "text").mapInArrow(run, schema)
+
+
+def candidates(groups: DataFrame, threshold: float, tasks: int, hot: bool) -> DataFrame:
     """Pairs (a, b) of groups(gid, size, prefix) that can reach the threshold, by what their prefixes share.
 
     Common n-grams come in the same order in both sets. So those beyond the prefixes are at most
     as many as the larger of the two rests, and the ones in the prefixes must make up for what is
     missing then. Before that, a pair needs a common n-gram so early in both that enough can follow
     it, and sizes that are close enough. Both sides of the join are the same exchange.
+
+    hot: some n-grams of prefixes occur so often that one task shouldn't have all their groups.
+    Their groups are cut into k parts each way, and each pair of parts meets in a task of its own.
     """
-    entries = groups.select("gid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")).repartition(tasks, "token")
     share = threshold / (1 + threshold)
-    a = entries.select("token", *[F.col(c).alias(f"a_{c}") for c in ("gid", "size", "pos")])
-    b = entries.select("token", *[F.col(c).alias(f"b_{c}") for c in ("gid", "size", "pos")])
-    first = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_gid") < F.col("b_gid")))
-    large = F.col("a_size") >= F.ceil(F.lit(threshold) * F.col("b_size") - 1e-9)
-    joined = a.join(b, (a["token"] == b["token"]) & first & large)
+
+    def joined(entries: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+        a = entries.select(*on, *[F.col(c).alias(f"a_{c}") for c in ("gid", "size", "pos")])
+        b = other.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("gid", "size", "pos")])
+        first = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_gid") < F.col("b_gid")))
+        large = F.col("a_size") >= F.ceil(F.lit(threshold) * F.col("b_size") - 1e-9)
+        same = [a[c] == b[c] for c in on]
+        return a.join(b, reduce(Column.__and__, same) & first & large).select("a_gid", "b_gid", "a_size", "b_size", "a_pos", "b_pos")
+
+    every = groups.select("gid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
+    rank = F.shiftrightunsigned("token", 56).cast("int")
+    entries = (every.where(rank < HOT_RANK) if hot else every).repartition(tasks, "token")
+    met = joined(entries, entries, ["token"])
+    if hot:
+        common = groups.where(F.shiftrightunsigned(F.element_at("prefix", -1), 56) >= HOT_RANK)
+        common = common.select("gid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")).where(rank >= HOT_RANK)
+        k = F.pow(F.lit(2), F.floor((rank - HOT_RANK) / 8) + 1).cast("int")
+        own, all_ = F.pmod(F.xxhash64("gid"), k).cast("int"), F.sequence(F.lit(0), k - 1)
+        left = common.withColumn("i", own).withColumn("j", F.explode(all_)).repartition(tasks, "token", "i", "j")
+        right = common.withColumn("j", own).withColumn("i", F.explode(all_)).repartition(tasks, "token", "i", "j")
+        met = met.unionAll(joined(left, right, ["token", "i", "j"]))
     enough = F.ceil(F.lit(share) * (F.col("a_size") + F.col("b_size")) - 1e-9)
     room = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
     rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(f"{x}_size") - 1e-9) - 1 for x in "ab"])
     # One number for each pair and task: how many are common, less how many must be, as its sizes say.
-    joined = joined.select(F.col("a_gid").alias("a"), F.col("b_gid").alias("b"), (enough - rest).cast("int").alias("need"), (room >= enough).alias("early"))
-    counted = joined.groupBy("a", "b").agg(F.count("*").cast("int").alias("common"), F.max("need").alias("need"), F.max("early").alias("early"))
+    met = met.select(F.col("a_gid").alias("a"), F.col("b_gid").alias("b"), (enough - rest).cast("int").alias("need"), (room >= enough).alias("early"))
+    counted = met.groupBy("a", "b").agg(F.count("*").cast("int").alias("common"), F.max("need").alias("need"), F.max("early").alias("early"))
     return counted.where("early AND common >= need").select("a", "b")
 
 
-def release(spark) -> None:
-    """Let Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def candidate_sets(docs: DataFrame, texts: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (doc_id, t, h1, h2, size), their sets with a doc_id, pairs of sets to verify)."""
+    """(rows (doc_id, t, h1, h2, size), sets (h1, h2, size, n: rows, best: least (z, d, t), key of a row), pairs of sets to verify)."""
     order = docs.sparkSession.sparkContext.broadcast(ranks(sketch(texts.select("text"), n)))
     found = cut(prefixes(texts, order, n, threshold))
     rows = cut(found.drop("prefix"))
+    worded = rows.where("size > 0")
     # One row stands for each group; its number is small, so that pairs of numbers are as well.
-    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
-    named = rows.groupBy("p1", "p2", "size").agg(F.min(key).alias("best"))
-    named = cut(cut(named).withColumn("gid", F.monotonically_increasing_id()))
-    chosen = small(named.select(F.col("best.d").alias("best_id"), F.col("best.t").alias("best_t"), "gid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("size").alias("qsize")))
-    same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("t") == F.col("best_t")) & (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2")) & (F.col("size") == F.col("qsize"))
-    groups = found.join(chosen, same).select("gid", "size", "prefix")
-    total = rows.agg(F.sum(F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).alias("n")).first()["n"] or 0
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(total) // TASK_ENTRIES)
-    pairs = candidates(groups, threshold, tasks)
-    numbers = named.select("p1", "p2", "size", "gid")
-    sets = cut(rows.groupBy("p1", "p2", "size", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).join(small(numbers), ["p1", "p2", "size"]).select("gid", "size", "h1", "h2", "doc_id"))
+    named = cut(cut(worded.groupBy("p1", "p2", "size").agg(F.min("key").alias("key"))).withColumn("gid", F.monotonically_increasing_id()))
+    groups = cut(found.join(small(named), ["key", "p1", "p2", "size"]).select("gid", "size", "prefix"))
+    discard(found)
+    known = worded.agg(F.sum(F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).alias("n"), F.max("top").alias("top")).first()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(known["n"] or 0) // TASK_ENTRIES)
+    pairs = cut(candidates(groups, threshold, tasks, (known["top"] or 0) >= HOT_RANK))
+    discard(groups)
+    best = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
+    sets = worded.groupBy("p1", "p2", "size", "h1", "h2").agg(F.count("*").alias("n"), F.min(best).alias("best"), F.min("key").alias("key"))
+    sets = cut(sets.join(small(named.drop("key")), ["p1", "p2", "size"]).drop("p1", "p2"))
+    discard(named)
     side = lambda x: sets.select(F.col("gid").alias(x), F.col("h1").alias(f"{x}h1"), F.col("h2").alias(f"{x}h2"), F.col("size").alias(f"{x}size"))
     left, right = side("a"), side("b")
     across = pairs.join(small(left), "a").join(small(right), "b").select("ah1", "ah2", "asize", "bh1", "bh2", "bsize")
     inner = left.join(right, (F.col("a") == F.col("b")) & (F.struct("ah1", "ah2") < F.struct(F.col("bh1").alias("ah1"), F.col("bh2").alias("ah2"))))
     todo = cut(across.unionByName(inner.select(*across.columns)))
+    discard(pairs)
     return rows, sets, todo
 
 
@@ -181,11 +206,10 @@ def mark(a: str, b: str):
     return F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"))
 
 
-def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, t, h1, h2, size), pairs of different sets (a1, a2, b1, b2, jaccard) that reach the threshold)."""
+def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows and sets as of candidate_sets, pairs of different sets (a1, a2, b1, b2, jaccard) that reach the threshold)."""
     texts = prepared(docs)
     rows, sets, todo = candidate_sets(docs, texts, n, threshold)
-    release(docs.sparkSession.sparkContext)
     # Each pair goes to the bucket of the least set among its neighbours, so that dense groups meet in one place.
     ends = todo.select(mark("ah1", "ah2").alias("x"), mark("bh1", "bh2").alias("y"))
     ends = ends.unionAll(ends.select("y", "x"))
@@ -199,10 +223,11 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
     placed = placed.join(weights, "bucket")
     block = lambda a, b: F.pmod(F.xxhash64(a, b), F.col("cuts"))
     placed = cut(placed.select("ah1", "ah2", "bh1", "bh2", F.struct("bucket", block("ah1", "ah2").alias("i"), block("bh1", "bh2").alias("j")).alias("cell")))
+    discard(todo)
     where = placed.select("cell", F.col("ah1").alias("h1"), F.col("ah2").alias("h2")).unionAll(placed.select("cell", "bh1", "bh2")).distinct()
     where = cut(where)
-    ids = cut(sets.select("h1", "h2", "doc_id").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).join(where.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id").distinct())
-    asked = texts.join(small(ids.withColumnRenamed("doc_id", "id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    keys = cut(sets.select("h1", "h2", "key").join(where.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(F.col("key").alias("asked")))
+    asked = texts.join(small(keys), F.col("key") == F.col("asked"), "left_semi").select("text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +238,7 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in marks), pa.array([s.tobytes() for s in own], pa.binary())], ["h1", "h2", "grams"])
 
     grams = asked.mapInArrow(again, "h1 long, h2 long, grams binary")
-    # A set may come twice, from rows that share a doc_id; compare() takes either.
+    # A set may come more than once, from rows that are copies; compare() takes any.
     located = small(where.withColumnRenamed("cell", "spot")).join(grams, ["h1", "h2"])
 
     def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
@@ -229,8 +254,9 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
         kinds = [pa.int64()] * 4 + [pa.float64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a1", "a2", "b1", "b2", "jaccard"])
 
-    result = placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long, jaccard double")
-    return rows, result
+    result = cut(placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long, jaccard double"))
+    discard(placed, where, keys)
+    return rows, sets, result
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -240,30 +266,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b: all pairs of documents whose sets reach the threshold.
-
-    Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case; a text of
-    fewer than n words, but one at least, has one n-gram of all its words. Defined cases: a text
-    without words (null, empty) is like nothing, not even another; a row with a null doc_id can't
-    be named and is in no pair; repeated rows count once; of rows that share a doc_id but not the
-    text each takes part, but no document is paired with itself, and of several values the
-    greatest is given; an empty table gives no rows; extra columns are ignored.
-    """
-    rows, pairs = verified(docs, n, threshold)
-    own = cut(rows.where("doc_id IS NOT NULL").select("doc_id", "h1", "h2").distinct())
-    own = small(own)
-    a = own.select(F.col("doc_id").alias("x"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    b = own.select(F.col("doc_id").alias("y"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    far = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where("x <> y").select("x", "y", "jaccard")
-    near = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
-    several = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    out = far.unionAll(near).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if several else out
-
-
 def components(pairs: DataFrame) -> DataFrame:
-    """(x, root) of pairs(x, y) of structs: the least of each connected component, by label propagation with pointer jumping."""
+    """(x, root) of pairs(x, y): the least of each connected component, by label propagation with pointer jumping."""
     edges = cut(pairs.select("x", "y").unionAll(pairs.select("y", "x")).distinct())
     labels = cut(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")))
     while True:
@@ -271,44 +275,93 @@ def components(pairs: DataFrame) -> DataFrame:
         step = labels.join(seen, "x").select("x", F.col("root").alias("old"), F.least("root", "via").alias("root"))
         jump = step.join(labels.select(F.col("x").alias("root"), F.col("root").alias("over")), "root", "left")
         after = cut(jump.select("x", "old", F.least("root", F.coalesce("over", "root")).alias("root")))
-        if not after.where("old <> root").limit(1).count():
-            return after.select("x", "root")
+        discard(labels)
         labels = after.select("x", "root")
+        if not after.where("old <> root").limit(1).count():
+            discard(edges)
+            return labels
+        labels = cut(labels)
+        discard(after)
+
+
+def classes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_id, t, size, root, links) of each row.
+
+    root: the least (z: is the id null, d: the id, t, h1, h2) of the row's connected component, so that it
+    tells the class and which row stands for it. links: other rows whose sets reach the threshold.
+    Both are null for a text without words.
+    """
+    rows, sets, pairs = verified(docs, n, threshold)
+    of = F.struct(F.col("best.z").alias("z"), F.col("best.d").alias("d"), F.col("best.t").alias("t"), "h1", "h2")
+    marks = sets.select("h1", "h2", "n", of.alias("x"))
+    a = marks.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("x"), F.col("n").alias("xn"))
+    b = marks.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("x").alias("y"), F.col("n").alias("yn"))
+    both = cut(pairs.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("x", "xn", "y", "yn"))
+    discard(pairs)
+    links = both.select("x", F.col("yn").alias("n")).unionAll(both.select("y", "xn")).groupBy("x").agg(F.sum("n").alias("far"))
+    about = marks.join(links, "x", "left").join(components(both), "x", "left")
+    about = cut(about.select("h1", "h2", "n", F.coalesce("root", "x").alias("root"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links")))
+    discard(both, sets)
+    # Rows of a set that a thousandth of all rows share meet it by broadcast, the others by shuffle.
+    most = max(10_000, rows.count() // 1_000)
+    hot = F.broadcast(about.where(F.col("n") > most))
+    own = rows.select("doc_id", "t", "size", "h1", "h2")
+    few = own.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(small(about.where(F.col("n") <= most)), ["h1", "h2"], "left")
+    return own.join(hot, ["h1", "h2"]).unionByName(few).select("doc_id", "t", "size", "root", "links")
+
+
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row: its class and to how many other rows its similarity reaches the threshold.
+
+    Two rows are linked if the Jaccard similarity of their n-gram sets is the threshold or more; a class is a
+    connected component of these links, named by its least doc_id. Copies are not expanded into
+    pairs: their links are counted from the links of the different sets, none of which is left out.
+
+    Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case; a text of
+    fewer than n words, but one at least, has one n-gram of all its words. Defined cases: a text
+    without words (null, empty) is like nothing, not even another, and a class of its own with no links;
+    rows with a null doc_id take part, and a class of such rows only has a null class_id; repeated
+    rows, and rows that share a doc_id but not the text, count each for itself; an empty table
+    gives no rows; extra columns are ignored; doc_id keeps its type.
+    """
+    out = classes(docs, n, threshold)
+    alone = F.col("root").isNull()
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("root.d")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but one document of each group, with its columns.
+    """docs without all but one document of each class, with its columns.
 
-    A group is a connected component of similar documents, as in similar_pairs; its row with the
-    least doc_id stays, a null counting as the greatest, and of repeated rows one. Documents
-    without words are in no group and stay.
+    Classes are those of linked(); the row with the least doc_id stays, a null counting as the
+    greatest, of rows that share it the one whose text has the least hash, and of repeated rows
+    one. Documents without words stay.
     """
-    rows, pairs = verified(docs, n, threshold)
-    roots = components(pairs.select(mark("a1", "a2").alias("x"), mark("b1", "b2").alias("y")))
-    own = rows.groupBy("doc_id", "t", "h1", "h2").agg(F.count("*").alias("n")).withColumn("x", mark("h1", "h2"))
-    own = own.join(roots, "x", "left").select("doc_id", "t", "n", F.coalesce("root", "x").alias("root"))
-    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
-    best = own.groupBy("root").agg(F.min(key).alias("best"), F.count("*").alias("rows"), F.max("n").alias("n"))
-    marked = own.join(best.where("rows > 1 OR n > 1").drop("n", "rows"), "root")
-    marked = cut(marked.select("doc_id", "t", (key != F.col("best")).alias("goes"), "n"))
+    marked = classes(docs, n, threshold).where("root IS NOT NULL")
+    stays = F.struct(F.col("doc_id").isNull(), "doc_id", "t").eqNullSafe(F.struct("root.z", "root.d", "root.t"))
+    marked = cut(marked.groupBy("doc_id", "t").agg(F.count("*").alias("n"), F.max(stays).alias("stays")))
     out, where, _ = flat(docs)
     columns = out.columns
     out = out.withColumn("t_key", F.xxhash64(F.col(where["text"])))
-    same = lambda m: F.col(where["doc_id"]).cast("long").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("t")) & F.col(where["text"]).isNotNull()
-    gone = cut(marked.where("goes").select("doc_id", "t"))
-    kept = out.join(small(gone), same(gone), "left_anti")
-    many = cut(marked.where("NOT goes AND n > 1").select("doc_id", "t"))
+    same = lambda m: F.col(where["doc_id"]).eqNullSafe(m["doc_id"]) & (F.col("t_key") == m["t"]) & F.col(where["text"]).isNotNull()
+    gone = small(marked.where("NOT stays").select("doc_id", "t"))
+    kept = out.join(gone, same(gone), "left_anti")
+    many = cut(marked.where("stays AND n > 1").select("doc_id", "t"))
     if many.limit(1).count():
-        alone = kept.join(small(many), same(many), "left_anti")
-        one = kept.join(small(many), same(many), "left_semi").dropDuplicates([where["doc_id"], "t_key"])
+        many = small(many)
+        alone = kept.join(many, same(many), "left_anti")
+        one = kept.join(many, same(many), "left_semi").dropDuplicates([where["doc_id"], "t_key"])
         kept = alone.unionAll(one)
     return kept.select(*columns).toDF(*docs.columns)
 
 
 ORACLE = f"""
-WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, CASE WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {N} + 2), lambda i: array_to_string(ws[i:i + {N} - 1], ' '))) END AS gs FROM w WHERE len(ws) > 0),
 e AS (SELECT doc_id, len(gs) AS size, unnest(gs) AS gram FROM g),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS common FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, common::DOUBLE / (sa + sb - common) AS jaccard FROM p WHERE common::DOUBLE / (sa + sb - common) >= {THRESHOLD}
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS common FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE common::DOUBLE / (sa + sb - common) >= {THRESHOLD}),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, least(x, min(y)) AS class_id FROM r GROUP BY x),
+d AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM documents LEFT JOIN c ON c.x = doc_id LEFT JOIN d ON d.x = doc_id
 """

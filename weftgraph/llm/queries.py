@@ -14,7 +14,7 @@ QUERIES = {
     "op6_secrets": lambda spark, d: secrets.scan(table(spark, d, "documents")),
     "op7_chat": lambda spark, d: chat.formatted(table(spark, d, "conversations")),
     "op8_exact_dedup": lambda spark, d: exact_dedup.survivors(table(spark, d, "documents")),
-    "op9_ngram_join": lambda spark, d: ngram_join.similar_pairs(table(spark, d, "documents")),
+    "op9_ngram_join": lambda spark, d: ngram_join.linked(table(spark, d, "documents")),
     "op10_quality_classifier": lambda spark, d: quality_classifier.classified(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
