@@ -175,14 +175,14 @@ def candidates(groups: DataFrame, threshold: float, tasks: int, hot: bool) -> Da
 
 
 def candidate_sets(docs: DataFrame, texts: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (doc_id, t, h1, h2, size), sets (h1, h2, size, n: rows, best: least (z, d, t), key of a row), pairs of sets to verify)."""
+    """(rows (doc_id, t, h1, h2, size), sets (sid, h1, h2, size, n: rows, best: least (z, d, t), key of a row), pairs of sets to verify (x, y, xsize, ysize))."""
     order = docs.sparkSession.sparkContext.broadcast(ranks(sketch(texts.select("text"), n)))
     found = cut(prefixes(texts, order, n, threshold))
     rows = cut(found.drop("prefix"))
     worded = rows.where("size > 0")
-    # One row stands for each group; its number is small, so that pairs of numbers are as well.
+    # One row stands for each group. Groups and sets get small numbers, so that pairs of them are small as well.
     named = cut(cut(worded.groupBy("p1", "p2", "size").agg(F.min("key").alias("key"))).withColumn("gid", F.monotonically_increasing_id()))
-    groups = cut(found.join(small(named), ["key", "p1", "p2", "size"]).select("gid", "size", "prefix"))
+    groups = cut(found.join(named, ["key", "p1", "p2", "size"]).select("gid", "size", "prefix"))
     discard(found)
     known = worded.agg(F.sum(F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).alias("n"), F.max("top").alias("top")).first()
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(known["n"] or 0) // TASK_ENTRIES)
@@ -190,43 +190,36 @@ def candidate_sets(docs: DataFrame, texts: DataFrame, n: int, threshold: float)
     discard(groups)
     best = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
     sets = worded.groupBy("p1", "p2", "size", "h1", "h2").agg(F.count("*").alias("n"), F.min(best).alias("best"), F.min("key").alias("key"))
-    sets = cut(sets.join(small(named.drop("key")), ["p1", "p2", "size"]).drop("p1", "p2"))
+    sets = cut(sets.join(named.drop("key"), ["p1", "p2", "size"]).drop("p1", "p2"))
+    sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()))
     discard(named)
-    side = lambda x: sets.select(F.col("gid").alias(x), F.col("h1").alias(f"{x}h1"), F.col("h2").alias(f"{x}h2"), F.col("size").alias(f"{x}size"))
-    left, right = side("a"), side("b")
-    across = pairs.join(small(left), "a").join(small(right), "b").select("ah1", "ah2", "asize", "bh1", "bh2", "bsize")
-    inner = left.join(right, (F.col("a") == F.col("b")) & (F.struct("ah1", "ah2") < F.struct(F.col("bh1").alias("ah1"), F.col("bh2").alias("ah2"))))
-    todo = cut(across.unionByName(inner.select(*across.columns)))
+    left, right = (sets.select(F.col("gid").alias(g), F.col("sid").alias(x), F.col("size").cast("int").alias(f"{x}size")) for g, x in ("ax", "by"))
+    across = pairs.join(left, "a").join(right, "b").select("x", "y", "xsize", "ysize")
+    inner = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", "xsize", "ysize")
+    todo = cut(across.unionAll(inner))
     discard(pairs)
     return rows, sets, todo
 
 
-def mark(a: str, b: str):
-    """A set's fingerprint as one value."""
-    return F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"))
-
-
 def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows and sets as of candidate_sets, pairs of different sets (a1, a2, b1, b2, jaccard) that reach the threshold)."""
+    """(rows and sets as of candidate_sets, pairs of different sets (x, y, jaccard) that reach the threshold)."""
     texts = prepared(docs)
     rows, sets, todo = candidate_sets(docs, texts, n, threshold)
     # Each pair goes to the bucket of the least set among its neighbours, so that dense groups meet in one place.
-    ends = todo.select(mark("ah1", "ah2").alias("x"), mark("bh1", "bh2").alias("y"))
-    ends = ends.unionAll(ends.select("y", "x"))
+    ends = todo.select("x", "y").unionAll(todo.select("y", "x"))
     labels = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.xxhash64(F.least("x", "y")).alias("label"))
-    total = todo.agg(F.sum(F.col("asize") + F.col("bsize")).alias("s")).first()["s"] or 0
+    total = todo.agg(F.sum(F.col("xsize").cast("long") + F.col("ysize")).alias("s")).first()["s"] or 0
     buckets = max(1, int(total) // TASK_GRAMS)
-    placed = todo.join(labels, mark("ah1", "ah2") == F.col("x")).select("ah1", "ah2", "asize", "bh1", "bh2", "bsize", F.pmod("label", F.lit(buckets)).alias("bucket"))
-    sides = placed.select("bucket", F.col("ah1").alias("h1"), F.col("ah2").alias("h2"), F.col("asize").alias("size"))
-    sides = sides.unionAll(placed.select("bucket", "bh1", "bh2", "bsize")).distinct()
+    placed = todo.join(labels, "x").withColumn("bucket", F.pmod("label", F.lit(buckets))).drop("label")
+    sides = placed.select("bucket", "x", F.col("xsize").alias("size")).unionAll(placed.select("bucket", "y", "ysize")).distinct()
     weights = sides.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / (4 * TASK_GRAMS))).alias("cuts"))
     placed = placed.join(weights, "bucket")
-    block = lambda a, b: F.pmod(F.xxhash64(a, b), F.col("cuts"))
-    placed = cut(placed.select("ah1", "ah2", "bh1", "bh2", F.struct("bucket", block("ah1", "ah2").alias("i"), block("bh1", "bh2").alias("j")).alias("cell")))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
+    placed = cut(placed.select("x", "y", F.struct("bucket", block("x").alias("i"), block("y").alias("j")).alias("cell")))
     discard(todo)
-    where = placed.select("cell", F.col("ah1").alias("h1"), F.col("ah2").alias("h2")).unionAll(placed.select("cell", "bh1", "bh2")).distinct()
-    where = cut(where)
-    keys = cut(sets.select("h1", "h2", "key").join(where.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(F.col("key").alias("asked")))
+    where = placed.select("cell", F.col("x").alias("sid")).unionAll(placed.select("cell", "y")).distinct()
+    where = cut(where.join(sets.select("sid", "h1", "h2", "key"), "sid"))
+    keys = cut(where.select(F.col("key").alias("asked")).distinct())
     asked = texts.join(small(keys), F.col("key") == F.col("asked"), "left_semi").select("text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,22 +232,21 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
 
     grams = asked.mapInArrow(again, "h1 long, h2 long, grams binary")
     # A set may come more than once, from rows that are copies; compare() takes any.
-    located = small(where.withColumnRenamed("cell", "spot")).join(grams, ["h1", "h2"])
+    located = where.select(F.col("cell").alias("spot"), "sid", "h1", "h2").join(grams, ["h1", "h2"]).select("spot", "sid", "grams")
 
     def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
-        sets = {(a, b): np.frombuffer(g.as_buffer(), np.uint64) for a, b, g in zip(own["h1"].to_pylist(), own["h2"].to_pylist(), own["grams"])}
+        sets = {k: np.frombuffer(g.as_buffer(), np.uint64) for k, g in zip(own["sid"].to_pylist(), own["grams"])}
         out = []
-        for a1, a2, b1, b2 in zip(*(pairs[c].to_pylist() for c in ("ah1", "ah2", "bh1", "bh2"))):
-            a, b = sets[a1, a2], sets[b1, b2]
+        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist()):
+            a, b = sets[x], sets[y]
             common = overlap(a, b)
             jaccard = common / (len(a) + len(b) - common)
             if jaccard >= threshold:
-                out.append((a1, a2, b1, b2, jaccard))
-        columns = list(zip(*out)) if out else [[]] * 5
-        kinds = [pa.int64()] * 4 + [pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a1", "a2", "b1", "b2", "jaccard"])
+                out.append((x, y, jaccard))
+        columns = list(zip(*out)) if out else [[]] * 3
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["x", "y", "jaccard"])
 
-    result = cut(placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long, jaccard double"))
+    result = cut(placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "x long, y long, jaccard double"))
     discard(placed, where, keys)
     return rows, sets, result
 
@@ -287,21 +279,19 @@ def components(pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(doc_id, t, size, root, links) of each row.
 
-    root: the least (z: is the id null, d: the id, t, h1, h2) of the row's connected component, so that it
+    root: the least (z: is the id null, d: the id, t) of the row's connected component, so that it
     tells the class and which row stands for it. links: other rows whose sets reach the threshold.
     Both are null for a text without words.
     """
     rows, sets, pairs = verified(docs, n, threshold)
-    of = F.struct(F.col("best.z").alias("z"), F.col("best.d").alias("d"), F.col("best.t").alias("t"), "h1", "h2")
-    marks = sets.select("h1", "h2", "n", of.alias("x"))
-    a = marks.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("x"), F.col("n").alias("xn"))
-    b = marks.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("x").alias("y"), F.col("n").alias("yn"))
-    both = cut(pairs.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("x", "xn", "y", "yn"))
-    discard(pairs)
-    links = both.select("x", F.col("yn").alias("n")).unionAll(both.select("y", "xn")).groupBy("x").agg(F.sum("n").alias("far"))
-    about = marks.join(links, "x", "left").join(components(both), "x", "left")
-    about = cut(about.select("h1", "h2", "n", F.coalesce("root", "x").alias("root"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links")))
-    discard(both, sets)
+    many = sets.select(F.col("sid").alias("y"), "n")
+    links = pairs.select("x", "y").unionAll(pairs.select("y", "x")).join(many, "y").groupBy("x").agg(F.sum("n").alias("far"))
+    roots = components(pairs)
+    known = cut(sets.join(links.join(roots, "x").withColumnRenamed("x", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    discard(pairs, sets)
+    best = known.groupBy("root").agg(F.min("best").alias("of"))
+    about = cut(known.join(best, "root").select("h1", "h2", "n", F.col("of").alias("root"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links")))
+    discard(known)
     # Rows of a set that a thousandth of all rows share meet it by broadcast, the others by shuffle.
     most = max(10_000, rows.count() // 1_000)
     hot = F.broadcast(about.where(F.col("n") > most))
