@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bytesets import GRAM_CODES, WORD_BYTE, chunks, mix, span_hashes, spans
-from .common import pick
+from .common import bounded, kind_of, pick
 
 #: Hashed features (a power of two), labelled documents of each class to train on, and settings.
 FEATURES, SAMPLE = 1 << 20, 1_200
@@ -154,7 +153,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model | None:
     if not len(marks):
         return None
     label = np.isin(keys[:, :4], marks).any(1) & np.repeat(toxic, size)
-    # Windows of the sequences: all that have a toxic token, and three times as many of clean documents, but 500 at least.
+    # Windows of the sequences: all that have a toxic token, and all of clean documents.
     row = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(row)) - first[row]
     window = np.unique(row * (1 << 32) + place // WINDOW, return_inverse=True)[1]
@@ -162,8 +161,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model | None:
     has = np.add.reduceat(label, edges[:-1]) > 0
     clean = np.flatnonzero(~has & ~toxic[row[edges[:-1]]])
     rng = np.random.default_rng(seed)
-    rng.shuffle(clean)
-    chosen = np.concatenate((np.flatnonzero(has), clean[: max(500, 3 * int(has.sum()))]))
+    chosen = np.concatenate((np.flatnonzero(has), clean))
     feats = slots(keys).astype(np.int32)
     del keys, place, window, row
     w, trans, begin = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
@@ -227,14 +225,10 @@ def tag(model: Model | None, texts: pa.Array, threshold: float = THRESHOLD) -> I
 
 
 def model_for(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The field, from up to `sample` toxic and as many clean labelled documents (the least hashes of their ids)."""
-    known = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    ids = parts[0].unionAll(parts[1]).withColumnRenamed("doc_id", "id")
-    own = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    by = own.select("doc_id", "toxic", "text").orderBy("doc_id", "text").toArrow()
+    """The field, from up to `sample` toxic and as many clean labelled documents (the least hashes of their ids), see bounded()."""
+    by = bounded(docs, labels, "toxic", sample, True).orderBy("doc_id", "text").toArrow()
     seen: dict[str, int] = {}
-    for text, toxic in zip(by["text"].to_pylist(), by["toxic"].to_pylist()):
+    for text, toxic in zip(by["text"].to_pylist(), by["label"].to_pylist()):
         seen[text] = max(toxic, seen.get(text, 0))
     return fit(pa.array(list(seen), pa.large_string()), np.array(list(seen.values()), bool)) if seen else None
 
@@ -246,7 +240,8 @@ def tagged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     doc_id is tagged, but not trained on; labels that are null or not 0 or 1 don't count, and a
     document with several is toxic if one says so; texts that repeat are trained on once; without
     labels of both classes, or without tokens that mark toxic ones, every score is 0; repeated
-    rows are tagged alike; an empty table gives no rows; extra columns are ignored.
+    rows are tagged alike; an empty table gives no rows; extra columns are ignored; doc_id keeps
+    its type.
     """
     model = docs.sparkSession.sparkContext.broadcast(model_for(docs, labels, sample))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -259,5 +254,5 @@ def tagged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + len(score)], pa.array(score), pa.array(score >= threshold), spans_], ["doc_id", "score", "is_toxic", "spans"])
                 lo += len(score)
 
-    own = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return own.mapInArrow(run, "doc_id long, score double, is_toxic boolean, spans array<struct<start: long, end: long>>")
+    own = pick(docs, "doc_id", "text")
+    return own.mapInArrow(run, f"doc_id {kind_of(own, 'doc_id')}, score double, is_toxic boolean, spans array<struct<start: long, end: long>>")
