@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import pick
+from .common import kind_of, pick
 
 WINDOW, HIDDEN = 96, 12
 #: Documents of each language to train on (those of least hashes), windows of each, and the training's settings.
@@ -183,8 +183,8 @@ def model_for(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> tupl
     """(languages, network) from the documents whose lang is known; None if there are none.
 
     The languages are those of the whole table, however rare. Of each, up to `sample` documents
-    are trained on, those of least hashes, or fewer where that makes more than MOST in all.
-    Repeated rows count once.
+    are trained on, those of least hashes of id, lang and text, or fewer where that makes more than
+    MOST in all. Repeated rows count once, however many there are.
     """
     known = pick(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("key", F.xxhash64("doc_id", "lang", "text"))
     many = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
@@ -203,8 +203,8 @@ def model_for(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> tupl
         keys.setdefault(lang, set()).add(key)
     rows = under({k: sorted(v)[:sample][-1] for k, v in keys.items()})
     # A window is drawn from these bytes; the text itself is not cut anywhere else.
-    got = sorted({(r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows.select("doc_id", "lang", "text").toLocalIterator()})
-    return languages, train([r[2].encode() for r in got], [languages.index(r[0]) for r in got], len(languages), steps=steps)
+    got = rows.groupBy("lang", "key").agg(F.first("text").alias("text")).orderBy("lang", "key").toArrow()
+    return languages, train([t.encode() for t in got["text"].to_pylist()], [languages.index(k) for k in got["lang"].to_pylist()], len(languages), steps=steps)
 
 
 def identified(docs: DataFrame, model: tuple[list[str], Params] | None = None, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
@@ -213,7 +213,8 @@ def identified(docs: DataFrame, model: tuple[list[str], Params] | None = None, s
     Defined cases: a null or empty text has no bytes, so its language and probability are null and
     its counts 0; documents with a null lang or doc_id are labelled like others (a null lang is
     not trained on); repeated rows are labelled alike; if all langs are null every result is null;
-    ties go to the language first by name; an empty table gives no rows; extra columns are ignored.
+    ties go to the language first by name; an empty table gives no rows; extra columns are ignored;
+    doc_id keeps its type.
     """
     found = model or model_for(docs, sample, steps)
     shared = docs.sparkSession.sparkContext.broadcast(found)
@@ -235,5 +236,5 @@ def identified(docs: DataFrame, model: tuple[list[str], Params] | None = None, s
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + len(some)], pa.array(names_, pa.string()), pa.array(probs.max(1), mask=~some), counts], names)
 
     names, kind = ["doc_id", "language", "probability", "bytes"], pa.map_(pa.string(), pa.int64())
-    own = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return own.mapInArrow(run, "doc_id long, language string, probability double, bytes map<string, long>")
+    own = pick(docs, "doc_id", "text")
+    return own.mapInArrow(run, f"doc_id {kind_of(own, 'doc_id')}, language string, probability double, bytes map<string, long>")
