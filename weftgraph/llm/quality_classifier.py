@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams: words, and n-grams of one to three word shapes (the pattern of
+Features are indicators of n-grams: words, pairs of words, and n-grams of one to three word shapes (the pattern of
 lower case, capitals, digits and marks, and whether a word repeats the one before). The indicators
 are scaled by the log ratio of their smoothed counts in the two classes, and a linear hinge-loss
 model is fitted to the scaled indicators by dual coordinate descent.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import GRAM_CODES, SOLID_BYTE, chunks, mix, span_hashes, spans
-from .common import flat, modest_batches, pick
+from .common import bounded, flat, kind_of, modest_batches, pick
 
 #: Hashed features (a power of two), labelled documents to fit on, and the model's settings.
 FEATURES, SAMPLE = 1 << 18, 6_000
@@ -49,15 +49,16 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again = np.concatenate(([False], words[1:] == words[:-1]))
     shapes[again] = mix(shapes[again])
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    keys = [words]
-    for n in (1, 2, 3):
-        if len(shapes) >= n:
-            total = np.full(len(shapes) - n + 1, n, np.uint64)
-            for k in range(n):
-                total += shapes[k : len(shapes) - n + 1 + k] * GRAM_CODES[k]
-            keys.append(mix(total))
-    rows = [row, row] + [row[: len(k)][row[: len(k)] == row[len(row) - len(k) :]] for k in keys[2:]]
-    keys = keys[:2] + [k[row[: len(k)] == row[len(row) - len(k) :]] for k in keys[2:]]
+    rows, keys = [], []
+    for of, n, salt in ((words, 1, 0), (words, 2, 4), (shapes, 1, 1), (shapes, 2, 2), (shapes, 3, 3)):
+        if len(of) < n:
+            continue
+        total = of if not salt else np.full(len(of) - n + 1, salt, np.uint64)
+        for k in range(n if salt else 0):
+            total = total + of[k : len(of) - n + 1 + k] * GRAM_CODES[k]
+        inside = row[: len(total)] == row[n - 1 :]
+        rows.append(row[: len(total)][inside])
+        keys.append((mix(total) if salt else total)[inside])
     pairs = np.unique(np.concatenate(rows) * FEATURES + (np.concatenate(keys) & np.uint64(FEATURES - 1)).astype(np.int64))
     return pairs // FEATURES, pairs % FEATURES
 
@@ -91,11 +92,9 @@ def fit(rows: list[np.ndarray], good: np.ndarray, seed: int = 1) -> tuple[np.nda
     return w * ratio, np.square(ratio), bias
 
 
-def training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(features, good, doc_ids) of the sampled labelled documents, by doc_id."""
-    known = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "id")
-    own = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
+def training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray, list]:
+    """(features, good, doc_ids) of the sampled labelled documents, by doc_id, see bounded()."""
+    own = bounded(docs, labels, "quality", sample, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,11 +102,11 @@ def training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.n
                 row, key = features(raw, at)
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                 cells = [key[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi].cast(pa.int32()), pa.array(cells, pa.binary())], ["doc_id", "quality", "f"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(cells, pa.binary())], ["doc_id", "label", "f"])
 
-    got = own.mapInArrow(run, "doc_id long, quality int, f binary").toArrow()
-    found = sorted(zip(got["doc_id"].to_pylist(), got["f"].to_pylist(), got["quality"].to_pylist()))
-    return [np.frombuffer(f, np.int32) for _, f, _ in found], np.array([q == 1 for *_, q in found], bool), np.array([d for d, *_ in found], np.int64)
+    got = own.mapInArrow(run, f"doc_id {kind_of(own, 'doc_id')}, label int, f binary").toArrow()
+    found = sorted(zip(got["doc_id"].to_pylist(), got["f"].to_pylist(), got["label"].to_pylist()))
+    return [np.frombuffer(f, np.int32) for _, f, _ in found], np.array([q == 1 for *_, q in found], bool), [d for d, *_ in found]
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, float] | None):
