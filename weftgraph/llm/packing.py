@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_tokens, pick
+from .common import cut, kind_of, n_tokens, pick
 
 CAPACITY = 2048
 #: Pieces over capacity / SMALL are large; groups of equal cardinality among them.
 SMALL, GROUPS = 8, 12
+#: Hash parts that the pieces of a length are ranked in, side by side.
+PARTS = 4096
 
 
 def best_pattern(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, np.ndarray]:
@@ -56,12 +58,13 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     """(how many slots of each size, how many such bins), enough for the demand.
 
     The linear programme is solved by column generation with a revised simplex method, rounded
-    down, and the few pieces that are then left are put first-fit by decreasing size.
+    down, and the few pieces that are then left are put first-fit by decreasing size. Any columns
+    make a valid packing, so generation may end before the optimum if it goes round in a circle.
     """
     k = len(sizes)
     columns = [np.eye(k)[g] * (capacity // sizes[g]) for g in range(k)]
     need = np.array(demand, float)
-    for _ in range(40 * k):
+    for _ in range(1000 * k):
         basis = np.array(columns).T
         inverse = np.linalg.inv(basis)
         x, prices = inverse @ need, np.ones(k) @ inverse
@@ -192,12 +195,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     No bin holds more than capacity tokens, and every token of every document is in one bin.
     Defined cases: a null or empty text has no tokens and so no piece; a null doc_id is packed like
-    another; repeated rows are packed each for itself; pieces that tie in length are ranked by
-    doc_id, piece, so the result depends on the table alone; an empty table gives no rows; extra
-    columns are ignored.
+    another; repeated rows are packed each for itself; pieces that tie in length are ranked by a
+    hash of doc_id and piece (mod PARTS), then doc_id, piece, so the result depends on the table
+    alone; an empty table gives no rows; extra columns are ignored; doc_id keeps its type.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    items = cut(pieces(docs, capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")))
+    items = cut(pieces(docs, capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")))
     counts = items.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = cut(counts)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -222,5 +224,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = before.select("length", "part", "before")
     order = Window.partitionBy("length", "part").orderBy(F.col("doc_id").asc_nulls_last(), "piece")
     ranked = items.withColumn("row", F.row_number().over(order)).join(before, ["length", "part"])
-    ranked = ranked.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", (F.col("before") + F.col("row") - 1).alias("rank"))
-    return ranked.mapInArrow(place, "bin_id long, doc_id long, piece int, start int, n_tokens int")
+    ranked = ranked.select("doc_id", "piece", "start", "length", (F.col("before") + F.col("row") - 1).alias("rank"))
+    return ranked.mapInArrow(place, f"bin_id long, doc_id {kind_of(docs, 'doc_id')}, piece int, start int, n_tokens int")
