@@ -5,6 +5,10 @@ into an open-addressing table that holds distinct contents only. Should these ou
 table and remaining rows go to spill files by the next bits of the hash, and each file is treated
 in the same way. Rows with equal hashes are compared by their complete content.
 
+Before the exchange, each task drops the copies among its own rows with such a table, which is
+emptied when it is full. So a content that makes up a third of all rows goes to its task a few
+times for each task that read it.
+
 Spill files are in the folder that all executors share, under a name of the task attempt's own, and
 are removed when the task is done with them; nothing else reads them, so a lost executor costs no
 more than its tasks.
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import flat, pick, shared_dir
 
-#: Bytes of distinct content that a task's table may hold; spill files a level; hash bits that a level takes.
-TABLE_BYTES, FANOUT_BITS = 64_000_000, 4
+#: Bytes that a task's table may hold, rows and contents; hash bits that a level of spill files takes; bytes of an entry besides.
+TABLE_BYTES, FANOUT_BITS, ENTRY_BYTES = 96_000_000, 4, 300
 
 
 class Table:
@@ -91,51 +95,74 @@ class Spill:
         self.files.delete_dir(self.at)
 
 
-def grace(batches: Iterator[pa.RecordBatch], root: str, limit: int, level: int = 0) -> Iterator[pa.RecordBatch]:
-    """The rows to keep. Columns named h (hash), t (content), r (rank, least is kept) and n (rows that it stands for) are used."""
-    table, held, size = Table(), [], 0
-    ranks: list = []
-    counts: list[int] = []
-    place: list[tuple[int, int]] = []
-    schema = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        schema = batch.schema
+class Held:
+    """A table of contents with the row to keep of each."""
+
+    def __init__(self) -> None:
+        self.table, self.held, self.size = Table(), [], 0
+        self.ranks: list = []
+        self.counts: list[int] = []
+        self.place: list[tuple[int, int]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
         fresh: dict[int, int] = {}
         hashes, rank, many = (batch.column(k).to_pylist() for k in ("h", "r", "n"))
         texts = batch.column("t")
         for i, h in enumerate(hashes):
             content = texts[i].as_py()
-            e, new = table.find(h, content)
+            e, new = self.table.find(h, content)
             own = tuple(rank[i].values())
             if new:
-                ranks.append(own)
-                counts.append(many[i])
-                place.append((len(held), -1))
-                size += len(content)
+                self.ranks.append(own)
+                self.counts.append(many[i])
+                self.place.append((len(self.held), -1))
+                self.size += len(content) + ENTRY_BYTES
                 fresh[e] = i
             else:
-                counts[e] += many[i]
-                if own < ranks[e]:
-                    ranks[e] = own
+                self.counts[e] += many[i]
+                if own < self.ranks[e]:
+                    self.ranks[e] = own
                     fresh[e] = i
         if fresh:
             for k, e in enumerate(fresh):
-                place[e] = (len(held), k)
-            held.append(batch.take(pa.array(list(fresh.values()))))
-        if size > limit and len(table.hashes) > 1 and (level + 1) * FANOUT_BITS <= 64:
+                self.place[e] = (len(self.held), k)
+            self.held.append(batch.take(pa.array(list(fresh.values()))))
+            self.size += self.held[-1].nbytes
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        return rows(self.held, self.place, self.counts)
+
+
+def local(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches without copies of what the table still holds, which begins anew beyond the limit."""
+    own = Held()
+    for batch in batches:
+        own.add(batch)
+        if own.size > limit:
+            yield from own.rows()
+            own = Held()
+    yield from own.rows()
+
+
+def grace(batches: Iterator[pa.RecordBatch], root: str, limit: int, level: int = 0) -> Iterator[pa.RecordBatch]:
+    """The rows to keep. Columns named h (hash), t (content), r (rank, least is kept) and n (rows that it stands for) are used."""
+    own, schema = Held(), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        schema = batch.schema
+        own.add(batch)
+        if own.size > limit and len(own.counts) > 1 and (level + 1) * FANOUT_BITS <= 64:
             break
     else:
-        yield from rows(held, place, counts)
+        yield from own.rows()
         return
     bucket = lambda hs: [(h >> (64 - (level + 1) * FANOUT_BITS)) & ((1 << FANOUT_BITS) - 1) for h in hs]
-    del table
     spill = Spill(root, schema)
     try:
-        for own in rows(held, place, counts):
-            spill.write(own, bucket(own.column("h").to_pylist()))
-        del held
+        for part in own.rows():
+            spill.write(part, bucket(part.column("h").to_pylist()))
+        del own
         for batch in batches:
             if batch.num_rows:
                 spill.write(batch, bucket(batch.column("h").to_pylist()))
@@ -162,18 +189,19 @@ def dedup(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     too are told apart by a hash of their other columns, and if that ties, any of them stays.
     Defined cases: a null text has no content to compare, so each such row stays (n is 1); empty
     texts equal each other; repeated rows leave one; an empty table gives an empty one; extra
-    columns are carried along.
+    columns are carried along; doc_id keeps its type.
     """
     spark = docs.sparkSession
     out, where, _ = flat(docs)
     text, doc = F.col(where["text"]), F.col(where["doc_id"])
     others = [f.name for f in out.schema if f.name != where["text"] and not any(x in f.dataType.simpleString() for x in ("map", "variant"))]
-    rank = F.struct(doc.isNull().cast("int").alias("a"), F.coalesce(doc, F.lit(0)).cast("long").alias("b"), F.xxhash64(*others).alias("c"))
+    rank = F.struct(doc.isNull().cast("int").alias("a"), doc.alias("b"), F.xxhash64(*others).alias("c"))
     columns = out.columns
     keyed = out.select("*", F.xxhash64(text).alias("h"), text.cast("binary").alias("t"), rank.alias("r"), F.lit(1).cast("long").alias("n"))
     keyed = keyed.drop(where["text"])
     root = shared_dir(spark)
-    spread = keyed.where(F.col("t").isNotNull()).repartition("h")
+    keyed = keyed.where(F.col("t").isNotNull())
+    spread = keyed.mapInArrow(lambda batches: local(batches, limit), keyed.schema).repartition("h")
     kept = spread.mapInArrow(lambda batches: grace(batches, root, limit), spread.schema)
     kept = kept.withColumn(where["text"], F.col("t").cast("string")).select(*columns, "n")
     return kept.unionAll(out.where(text.isNull()).withColumn("n", F.lit(1).cast("long")))

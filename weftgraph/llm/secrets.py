@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import pick
+from .common import kind_of, pick
 
 
 def either(word: str) -> str:
@@ -225,7 +225,8 @@ def scan(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     Matches of a rule don't overlap and are found from left to right over the whole text; the
     secret itself is not repeated. Defined cases: null and empty texts have no matches; a null
     doc_id stays null; repeated rows are scanned each for itself; matches of several rules at one
-    place are all reported; an empty table gives no rows; extra columns are ignored.
+    place are all reported; an empty table gives no rows; extra columns are ignored; doc_id keeps
+    its type.
     """
     asks = {name: ask(p) for name, p in rules.items()}
     wanted: dict[bool, dict[bytes, int]] = {}
@@ -256,13 +257,14 @@ def scan(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
                         if text is None:
                             text = decoded[row] = raw[at[row] : at[row + 1]].tobytes().decode()
                         for no, m in enumerate(compiled[name].finditer(text), 1):
-                            out.append((ids[lo + row].as_py(), name, no, m.start(), m.end() - m.start(), hashlib.md5(m.group().encode()).hexdigest()))
+                            out.append((lo + row, name, no, m.start(), m.end() - m.start(), hashlib.md5(m.group().encode()).hexdigest()))
             columns = list(zip(*out)) if out else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "rule", "match_no", "start", "length", "md5"])
+            of, *rest = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([ids.take(of), *rest], ["doc_id", "rule", "match_no", "start", "length", "md5"])
 
-    own = pick(docs, "doc_id", "text").where(F.col("text").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return own.mapInArrow(run, "doc_id long, rule string, match_no long, start long, length long, md5 string")
+    own = pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
+    return own.mapInArrow(run, f"doc_id {kind_of(own, 'doc_id')}, rule string, match_no long, start long, length long, md5 string")
 
 
 def _oracle() -> str:
