@@ -27,7 +27,7 @@ def test_mixing_odd_rows(docs):
     assert sorted(map(str, out)) == sorted(map(str, again))
     assert mixing.emitted(docs([])).count() == 0
     assert mixing.mixed(docs([(1, ""), (2, None)])).count() == 2
-    assert mixing.emitted(docs([(1, "a b"), (2, "c", "t")]), {"t": 1.0}).where("source = 's'").count() == 0
+    assert mixing.emitted(docs([(1, "a b"), (2, "c", "t")]), {"t": 1.0}, 0.0).where("source = 's'").count() == 0
     wide = mixing.mixed(docs(ODD, CLASHING))
     assert wide.columns == docs(ODD, CLASHING).columns and wide.count() == len(out)
 

@@ -57,12 +57,13 @@ def test_scan_against_brute_force(docs):
 
 
 def test_chat(spark):
-    rows = [(1, 2, "user", "c"), (1, 0, "system", "a"), (1, 1, "user", "b"), (1, 3, "assistant", "d"), (2, None, None, None), (2, 0, "user", ""), (None, 0, "user", "x"), (3, 1, "user", "z"), (3, 1, "user", "z"), (3, 1, "assistant", "y")]
+    rows = [(1, 2, "user", "c"), (1, 0, "system", "a"), (1, 1, "user", "b"), (1, 3, "assistant", "d"), (2, None, None, None), (2, 0, "user", ""), (None, 0, "user", "x"), (None, 1, "user", "w"), (3, 1, "user", "z"), (3, 1, "user", "z"), (3, 1, "assistant", "y")]
     turns = spark.createDataFrame([(*r, "extra", "more") for r in rows], "conv_id long, turn long, role string, text string, n string, ts string")
     out = {r.conv_id: (r.n_turns, r.n_messages, r.text) for r in chat.formatted(turns).collect()}
     assert out[1] == (4, 3, "<|system|>\na<|end|>\n<|user|>\nb\nc<|end|>\n<|assistant|>\nd<|end|>\n")
     assert out[2] == (2, 1, "<|user|>\n\n<|end|>\n")
-    assert out[None] == (1, 1, "<|user|>\nx<|end|>\n")
+    alone = sorted((r.n_turns, r.n_messages, r.text) for r in chat.formatted(turns).collect() if r.conv_id is None)
+    assert alone == [(1, 1, "<|user|>\nw<|end|>\n"), (1, 1, "<|user|>\nx<|end|>\n")]
     assert out[3] == (3, 2, "<|assistant|>\ny<|end|>\n<|user|>\nz\nz<|end|>\n")
     assert chat.formatted(turns.limit(0)).count() == 0
     long = spark.createDataFrame([(9, i, "user" if i % 3 else "assistant", "t" * 10) for i in range(5000)], "conv_id long, turn long, role string, text string")
