@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import names
-from weftgraph.operators import lint, linearize, reports, search, tools
+from weftgraph.operators import lint, reports, search, tools
 from weftgraph.operators.incremental import Workspace, latest
 from weftgraph.plans.query import Query
 from weftgraph.sources.files import language_of_id, list_files, workspace_paths
@@ -142,13 +142,6 @@ def test_latest(spark):
     assert sorted(map(tuple, latest(df).collect())) == [("a", 3, "y"), ("b", 2, "z")]
 
 
-def test_linearize_both_ways(spark):
-    from weftgraph.plans.code_queries import chains
-
-    both = [sorted(map(tuple, chains(spark, "", few).collect())) for few in (0, linearize.FEW)]
-    assert both[0] == both[1]
-
-
 def test_config():
     c = lint.Config.parse('[graph]\nexclude = ["a/**"]\n[linter.rules.ParseError]\nenabled = false\n')
     assert c.exclude == ("a/**",) and not c.rules["ParseError"].enabled and lint.unknown_rules(c, ["X"]) == ["ParseError"]

@@ -135,3 +135,70 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     g = PropertyGraph([NodeTable("P", df, "id", {"P": None}, {"age": "age", "junk": "junk"})], [])
     plan = Query.parse("MATCH (p:P) WHERE p.age > 5 RETURN p.age").run(g).df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(age,5)" in plan and "junk" not in plan
+
+
+def run(graph, text):
+    return sorted(map(tuple, Query.parse(text).run(graph).rows), key=str)
+
+
+def small_graph(spark, edges, key=None):
+    columns = "src long, dst long" + (", way string" if key else "")
+    nodes = spark.createDataFrame([(i, i % 3, f"n{i}") for i in range(8)], "id long, age long, name string")
+    return PropertyGraph([NodeTable("N", nodes, "id", {"N": None}, {"id": "id", "age": "age", "name": "name"})], [EdgeTable("E", "N", "N", spark.createDataFrame(edges, columns), key=key)])
+
+
+def test_average_of_distinct_values(spark):
+    g = small_graph(spark, [(0, 1)])
+    assert run(g, "MATCH (n:N) RETURN avg(DISTINCT n.age) AS a, avg(n.age) AS b") == [(1.0, 0.875)]
+    assert run(g, "MATCH (n:N) WHERE n.age > 9 RETURN avg(DISTINCT n.age) AS a") == [(None,)]
+
+
+def test_parallel_edges_with_a_key_are_two_relationships(spark):
+    edges = [(0, 1, "road"), (0, 1, "rail")]
+    text = "MATCH (a:N)-[:E]->(b:N)<-[:E]-(c:N) RETURN a.id, b.id, c.id"
+    assert run(small_graph(spark, edges, "way"), text) == [(0, 1, 0), (0, 1, 0)]
+    assert run(small_graph(spark, edges), text) == []
+
+
+def test_reachable_ends_equal_those_of_paths(spark):
+    edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 3), (5, 6)]
+    g = small_graph(spark, edges)
+    for low in ("*", "*0..", "*1.."):
+        listed = {r for r in run(g, f"MATCH (a:N)-[:E{low}]->(b:N) RETURN a.id, b.id")}
+        assert set(run(g, f"MATCH (a:N)-[:E{low}]->(b:N) RETURN DISTINCT a.id, b.id")) == listed
+    assert run(g, "MATCH (a:N)-[:E*]->(b:N) RETURN a.id, count(DISTINCT b.id)") == [(0, 4), (1, 4), (2, 4), (3, 1), (5, 1)]
+
+
+def test_where_reaches_the_first_frontier(spark, monkeypatch):
+    from weftgraph.plans import compiler
+
+    g = small_graph(spark, [(i, i + 1) for i in range(7)])
+    counts = []
+
+    def counted(df):
+        counts.append(df.count())
+        return df
+
+    monkeypatch.setattr(compiler, "cut", counted)
+    seen = []
+    for text in ("MATCH (a:N)-[:E*]->(b:N) WHERE a.name = 'n5' AND b.age >= 0 RETURN a.id, b.id", "MATCH (a:N {name: 'n5'})-[:E*]->(b:N) RETURN a.id, b.id"):
+        counts.clear()
+        assert run(g, text) == [(5, 6), (5, 7)]
+        seen.append(list(counts))
+    assert seen[0] == seen[1] and seen[0][0] == 1
+
+
+def test_tables_are_opened_when_needed(spark):
+    def never():
+        raise AssertionError("opened")
+
+    ants = spark.createDataFrame([(1,)], "id long")
+    g = PropertyGraph([NodeTable("Ant", ants, "id", {"Ant": None}, {"id": "id"}), NodeTable("Bee", never, "id", {"Bee": None}, {"id": "id"})], [EdgeTable("STINGS", "Bee", "Ant", never)], session=spark)
+    assert run(g, "MATCH (a:Ant) RETURN a.id") == [(1,)]
+
+
+def test_keys_of_several_types_meet(spark):
+    a = NodeTable("A", spark.createDataFrame([(1,)], "id long"), "id", {"A": None, "Both": None}, {"id": "id"})
+    b = NodeTable("B", spark.createDataFrame([("x",)], "id string"), "id", {"B": None, "Both": None}, {})
+    g = PropertyGraph([a, b], [EdgeTable("L", "A", "A", spark.createDataFrame([(1, 1)], "src long, dst long"))])
+    assert run(g, "MATCH (x:Both), (x:A)-[:L]->(y:A) RETURN y.id") == [(1,)]

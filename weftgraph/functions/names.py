@@ -44,16 +44,20 @@ def fuzzy_score(name: Column | str, query: str) -> Column:
     return F.when(_c(name).rlike(fuzzy_pattern(query)), F.lit(len(query))).otherwise(F.lit(0))
 
 
+def _head(text: Column | str, offset: Column) -> Column:
+    """The first bytes of a text, each as one character."""
+    return F.decode(F.substring(F.encode(_c(text), "UTF-8"), F.lit(1), offset.cast("int")), "ISO-8859-1")
+
+
 def line_of(text: Column | str, offset: Column) -> Column:
     """1-based line of a byte offset."""
-    head = F.substring(F.encode(_c(text), "UTF-8"), F.lit(1), offset.cast("int")).cast("string")
+    head = _head(text, offset)
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
 
 def column_of(text: Column | str, offset: Column) -> Column:
-    """1-based byte column of a byte offset."""
-    head = F.substring(F.encode(_c(text), "UTF-8"), F.lit(1), offset.cast("int")).cast("string")
-    return F.octet_length(F.element_at(F.split(head, "\n"), -1)) + 1
+    """1-based byte column of a byte offset, which may lie inside a character."""
+    return F.length(F.element_at(F.split(_head(text, offset), "\n"), -1)) + 1
 
 
 def display_range(l1: Column, c1: Column, l2: Column, c2: Column) -> Column:

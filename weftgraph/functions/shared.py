@@ -28,16 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so that later jobs neither recompute it nor need its executors.
 
-    Shuffle files that only served to make it are removed at once.
+    Shuffle files that only served to make it are removed at once. The estimated size of what it was
+    made from is forgotten: estimates of joins are products, and over the rounds of a loop they would
+    become numbers of millions of digits.
     """
     spark = df.sparkSession
     shared_dir(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        kept = df.select("*").checkpoint(eager=True)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    rows = kept._jdf.logicalPlan().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def discard(*tables: DataFrame) -> None:

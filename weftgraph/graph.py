@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +14,25 @@ from pyspark.sql import functions as F
 class NodeTable:
     """Nodes of one table.
 
-    key: the column that identifies a node in the table. labels: each label's condition on the
-    table's columns, None for all rows. kind: the label that a node displays. props: property name to
-    column name.
+    source: the table, or what makes it once a query asks for it. key: the column that identifies a
+    node in the table. labels: each label's condition on the table's columns, None for all rows.
+    kind: the label that a node displays. props: property name to column name.
     """
 
     name: str
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     key: str
     labels: dict[str, Callable[[], Column] | None]
     props: dict[str, str]
     kind: str | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
+
+    def has_label(self, labels: tuple[str, ...]) -> bool:
+        return not labels or any(x in self.labels for x in labels)
+
     def with_label(self, labels: tuple[str, ...]) -> DataFrame | None:
         """The nodes with one of the labels (all for none given), None if the table can have none of them."""
         if not labels:
@@ -42,13 +50,22 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """Edges of one type from one node table to another: columns src and dst with the tables' keys."""
+    """Edges of one type from one node table to another: columns src and dst with the tables' keys.
+
+    source: the table, or what makes it once a query asks for it. key: a column that tells apart
+    edges between the same nodes; without one, these are one relationship.
+    """
 
     type: str
     src: str
     dst: str
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     about: str = ""
+    key: str | None = None
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
 
 
 @dataclass
@@ -57,10 +74,11 @@ class PropertyGraph:
     edges: list[EdgeTable]
     version: int = 0
     about: dict[str, str] = field(default_factory=dict)
+    session: SparkSession | None = None
 
     @property
     def spark(self) -> SparkSession:
-        return self.nodes[0].df.sparkSession
+        return self.session or self.nodes[0].df.sparkSession
 
     def table(self, name: str) -> NodeTable:
         return next(t for t in self.nodes if t.name == name)

@@ -6,6 +6,7 @@ fold over the mixins is a SQL higher-order function, so no row leaves the JVM.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,97 +38,55 @@ def _round(ready: DataFrame, chains: DataFrame) -> DataFrame:
     return own.select("name", chain.alias("chain"), state.alias("state"))
 
 
-#: Namespaces and mixins up to which the chains are computed in one place: for few, a round of jobs costs more than all the work.
-FEW = 50_000
-
-
-def linearize(namespaces: DataFrame, mixins: DataFrame, few: int = FEW) -> DataFrame:
+def linearize(namespaces: DataFrame, mixins: DataFrame) -> DataFrame:
     """(name, state, chain) of namespaces(name, kind, superclass) and mixins(name, ord, kind, target).
 
     kind of a mixin: include or prepend. superclass: a name; null for modules and the root; a name
     that isn't among the namespaces stays in the chain as a partial entry '?Name', and so does a
-    mixin's. Namespaces on a cycle take what could be resolved without going round, and are cyclic.
+    mixin's. Where a chain comes back to a namespace that it is being made for, a class gives
+    Object and a module nothing at that place, and everything else is merged as usual; all
+    namespaces on or behind such a cycle are cyclic, but one that only mixes itself in is not.
     Mixins without a target and namespaces without a name don't count; a name that repeats is one
     namespace, with a superclass if one of its rows has one (the last by name).
+
+    Each round is a job that gives a chain to every namespace all of whose needs have one, so there
+    are as many rounds as the longest chain of needs. Only namespaces that lie on cycles are
+    walked one by one, those of a connected set of cycles in one task.
     """
     namespaces = namespaces.where("name IS NOT NULL").groupBy("name").agg(F.max(F.struct("superclass", "kind")).alias("s")).select("name", "s.kind", "s.superclass")
-    mixins = mixins.where("target IS NOT NULL")
-    spaces = namespaces.select("name", "kind", "superclass").limit(few + 1).collect()
-    mixed = mixins.select("name", "ord", "kind", "target").limit(few + 1).collect() if len(spaces) <= few else []
-    if len(spaces) <= few and len(mixed) <= few:
-        return namespaces.sparkSession.createDataFrame(in_one_place(spaces, mixed), "name string, state string, chain array<string>")
-    return in_rounds(namespaces, mixins)
+    mixed = mixins.where("target IS NOT NULL AND name <> target").select("name", "ord", F.col("kind").alias("k"), F.col("target").alias("m"))
+    named = namespaces.join(mixed.groupBy("name").agg(F.collect_list(F.struct("ord", "k", "m")).alias("mixins")), "name", "left")
+    named = cut(named.withColumn("mixins", F.coalesce("mixins", F.expr("cast(array() as array<struct<ord: int, k: string, m: string>>)"))))
+    known = named.select(F.col("name").alias("k"))
+    targets = _needs(named).select(F.col("need").alias("superclass")).distinct()
+    missing = targets.join(known, F.col("superclass") == F.col("k"), "left_anti")
+    holes = missing.select(F.col("superclass").alias("name"), F.array(F.concat(F.lit("?"), F.col("superclass"))).alias("chain"), F.lit("partial").alias("state"))
+    chains, waiting = _rounds(cut(holes), named)
+    if not empty(waiting):
+        # What the namespaces on cycles need is itself on cycles, or has a chain; then the rounds go on.
+        core = _core(waiting)
+        chains = cut(chains.unionAll(_cyclic(core, chains)))
+        chains, waiting = _rounds(chains, waiting.join(core.select("name"), "name", "left_anti"))
+    # The holes themselves aren't declarations; a partial class gets the root's chain.
+    out = chains.join(named.select("name", "kind", F.col("superclass").alias("up")), "name")
+    root = out.where("name = 'Object'").select(F.col("chain").alias("root"))
+    hole = F.col("kind").eqNullSafe("Class") & F.array_contains("chain", F.concat(F.lit("?"), F.col("up")))
+    out = out.join(F.broadcast(root), how="left")
+    whole = F.when(hole & F.col("root").isNotNull(), F.array_distinct(F.concat("chain", "root"))).otherwise(F.col("chain"))
+    return out.select("name", "state", whole.alias("chain"))
 
 
-def fold(name: str, mixins: list[tuple[str, list[str]]], parents: list[str]) -> list[str]:
-    """Chain of a name: prepends, itself, includes, parents."""
-    first: list[str] = []
-    then: list[str] = []
-    for kind, chain in mixins:
-        if kind == "prepend":
-            if any(e not in first for e in chain):
-                first = chain + [e for e in first if e not in chain]
-        else:
-            then = [e for e in chain if e not in first and e not in then and e not in parents] + then
-    return list(dict.fromkeys([*first, name, *then, *parents]))
+def _needs(df: DataFrame) -> DataFrame:
+    """(name, need) of namespaces with mixins."""
+    return df.select("name", F.explode(F.expr("array_compact(array_append(transform(mixins, x -> x.m), superclass))")).alias("need"))
 
 
-def in_one_place(spaces, mixins) -> list[tuple[str, str, list[str]]]:
-    """linearize for few rows, by the same rules."""
-    by: dict[str, list[tuple[str, str]]] = {}
-    for m in sorted(mixins, key=lambda m: m["ord"]):
-        if m["name"] != m["target"]:
-            by.setdefault(m["name"], []).append((m["kind"], m["target"]))
-    kind = {s["name"]: s["kind"] for s in spaces}
-    up = {s["name"]: s["superclass"] for s in spaces}
-    done: dict[str, tuple[list[str], str]] = {}
-    for t in {*up.values(), *(m["target"] for m in mixins)} - {None, *kind}:
-        done[t] = ([f"?{t}"], "partial")
-    waiting = list(kind)
-    while waiting:
-        ready = [n for n in waiting if (up[n] is None or up[n] in done) and all(t in done for _, t in by.get(n, []))]
-        if not ready:
-            break
-        fresh = {}
-        for n in ready:
-            parents, state = done[up[n]] if up[n] is not None else ([], "complete")
-            states = {state, *(done[t][1] for _, t in by.get(n, []))}
-            fresh[n] = (fold(n, [(k, done[t][0]) for k, t in by.get(n, [])], parents), next((s for s in ("cyclic", "partial") if s in states), "complete"))
-        done |= fresh
-        waiting = [n for n in waiting if n not in fresh]
-    for n in waiting:
-        chain, at = [n], up[n]
-        last = n
-        while at is not None and at not in chain and (at in waiting):
-            chain.append(at)
-            last, at = at, up[at]
-        tail = done[at][0] if at is not None and at not in waiting else ["Object"] if kind[last] == "Class" else []
-        done[n] = (list(dict.fromkeys(chain + tail)), "cyclic")
-    root = done.get("Object", ([], ""))[0]
-    out = []
-    for n in kind:
-        chain, state = done[n]
-        if kind[n] == "Class" and f"?{up[n]}" in chain:
-            chain = list(dict.fromkeys(chain + root))
-        out.append((n, state, chain))
-    return out
-
-
-def in_rounds(namespaces: DataFrame, mixins: DataFrame) -> DataFrame:
-    """linearize for many rows: each round is a job over all namespaces whose needs are met."""
-    known = namespaces.select(F.col("name").alias("k"))
-    mixed = mixins.select("name", "ord", F.col("kind").alias("k"), F.col("target").alias("m")).where("name <> m")
-    named = namespaces.select("name", "kind", "superclass").join(mixed.groupBy("name").agg(F.collect_list(F.struct("ord", "k", "m")).alias("mixins")), "name", "left")
-    named = cut(named.withColumn("mixins", F.coalesce("mixins", F.expr("cast(array() as array<struct<ord: int, k: string, m: string>>)"))))
-    targets = named.select("superclass").unionAll(mixed.select("m")).where("superclass IS NOT NULL").distinct()
-    missing = targets.join(known, F.col("superclass") == F.col("k"), "left_anti")
-    holes = missing.select(F.col("superclass").alias("name"), F.array(F.concat(F.lit("?"), F.col("superclass"))).alias("chain"), F.lit("partial").alias("state"))
-    # Each round is one job: it gives a chain to every namespace all of whose needs have one.
-    chains, waiting, left = cut(holes), named, -1
+def _rounds(chains: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains with those that could be made, the namespaces that still wait)."""
+    left = -1
     while True:
         done = chains.select(F.col("name").alias("need"), F.lit(True).alias("there"))
-        needs = waiting.select("name", F.explode(F.array_compact(F.array_append(F.transform("mixins", lambda x: x["m"]), F.col("superclass")))).alias("need"))
-        open_ = needs.join(done, "need", "left").where("there IS NULL").select("name").distinct().withColumn("open", F.lit(True))
+        open_ = _needs(waiting).join(done, "need", "left").where("there IS NULL").select("name").distinct().withColumn("open", F.lit(True))
         marked = waiting.join(open_, "name", "left")
         new = _round(marked.where("open IS NULL").drop("open"), chains)
         step = cut(marked.join(new, "name", "left").select("name", "kind", "superclass", "mixins", "chain", "state"))
@@ -135,33 +94,69 @@ def in_rounds(namespaces: DataFrame, mixins: DataFrame) -> DataFrame:
         waiting = step.where("chain IS NULL").select("name", "kind", "superclass", "mixins")
         before, left = left, waiting.count()
         if left in (0, before):
+            return chains, waiting
+
+
+def _core(waiting: DataFrame) -> DataFrame:
+    """Of namespaces on or behind cycles those that one of them needs, again and again: what lies on cycles or between them."""
+    left = -1
+    while True:
+        needed = _needs(waiting).select(F.col("need").alias("name")).distinct()
+        waiting = cut(waiting.join(needed, "name", "left_semi"))
+        before, left = left, waiting.count()
+        if left == before:
+            return waiting
+
+
+def _cyclic(core: DataFrame, chains: DataFrame) -> DataFrame:
+    """(name, chain, state) of namespaces on cycles: each is walked from itself, and what is being walked isn't entered again."""
+    names = core.select(F.col("name").alias("need"))
+    edges = cut(_needs(core).join(names, "need", "left_semi"))
+    both = edges.unionAll(edges.select(F.col("need").alias("name"), F.col("name").alias("need")))
+    labels = cut(core.select("name", F.col("name").alias("label")))
+    while True:  # connected sets of cycles, by the least name
+        seen = both.join(labels.select(F.col("name").alias("need"), F.col("label").alias("via")), "need").groupBy("name").agg(F.min("via").alias("via"))
+        step = cut(labels.join(seen, "name", "left").select("name", F.col("label").alias("old"), F.least("label", F.coalesce("via", "label")).alias("label")))
+        labels = step.select("name", "label")
+        if not step.where("old <> label").limit(1).count():
             break
-    if left:
-        chains = chains.unionAll(_cyclic(waiting, chains))
-    # The holes themselves aren't declarations; a partial class gets the root's chain.
-    out = chains.join(namespaces.select("name", "kind", F.col("superclass").alias("up")), "name")
-    root = out.where("name = 'Object'").select(F.col("chain").alias("root"))
-    hole = F.col("kind").eqNullSafe("Class") & F.array_contains("chain", F.concat(F.lit("?"), F.col("up")))
-    out = out.join(F.broadcast(root), how="left")
-    whole = F.when(hole & F.col("root").isNotNull(), F.array_distinct(F.concat("chain", "root"))).otherwise(F.col("chain"))
-    return out.select("name", "state", whole.alias("chain"))
+    outside = _needs(core).join(names, "need", "left_anti").join(chains.select(F.col("name").alias("need"), "chain", "state"), "need")
+    outside = outside.groupBy("name").agg(F.collect_list(F.struct("need", "chain", "state")).alias("outside"))
+    rows = core.join(labels, "name").join(outside, "name", "left")
+
+    def walk_all(table: pa.Table) -> pa.Table:
+        spaces = {r["name"]: r for r in table.to_pylist()}
+        done = {o["need"]: (o["chain"], o["state"]) for r in spaces.values() for o in r["outside"] or []}
+        out = [(n, walk(n, spaces, done, frozenset())[0], "cyclic") for n in spaces]
+        return pa.table({"name": [r[0] for r in out], "chain": pa.array([r[1] for r in out], pa.list_(pa.string())), "state": [r[2] for r in out]})
+
+    return rows.groupBy("label").applyInArrow(walk_all, "name string, chain array<string>, state string")
 
 
-def _cyclic(waiting: DataFrame, chains: DataFrame) -> DataFrame:
-    """Chains of namespaces on or behind a cycle: superclasses are followed until one comes again; a class then gets Object."""
-    done = chains.select(F.col("name").alias("at"), F.col("chain").alias("rest"))
-    ups = cut(waiting.select(F.col("name").alias("at"), "superclass", "kind"))
-    work = cut(waiting.select("name", F.col("name").alias("at"), F.array("name").alias("chain")))
-    ended = None
-    while not empty(work):
-        step = work.join(ups, "at").select("name", "chain", F.col("superclass").alias("at"), "kind").join(done, "at", "left")
-        over = F.col("at").isNull() | F.col("rest").isNotNull() | F.array_contains("chain", F.col("at"))
-        tail = F.when(F.col("rest").isNotNull(), F.col("rest")).when(F.col("kind") == "Class", F.array(F.lit("Object"))).otherwise(F.array().cast("array<string>"))
-        step = cut(step.withColumn("over", F.coalesce(over, F.lit(True))))
-        part = step.where("over").select("name", F.array_distinct(F.concat("chain", tail)).alias("chain"), F.lit("cyclic").alias("state"))
-        ended = part if ended is None else ended.unionAll(part)
-        work = step.where("NOT over").select("name", "at", F.array_append("chain", F.col("at")).alias("chain"))
-    return ended
+def walk(name: str, spaces: dict, done: dict, path: frozenset) -> tuple[list[str], str]:
+    """(chain, state) of a namespace; path: those that are being walked."""
+    if name in done:
+        return done[name]
+    own = spaces[name]
+    if name in path:
+        return (["Object"] if own["kind"] == "Class" else []), "cyclic"
+    path = path | {name}
+    parents = walk(own["superclass"], spaces, done, path)[0] if own["superclass"] else []
+    mixed = [(m["k"], walk(m["m"], spaces, done, path)[0]) for m in sorted(own["mixins"], key=lambda m: m["ord"])]
+    return fold(name, mixed, parents), "cyclic"
+
+
+def fold(name: str, mixins: list[tuple[str, list[str]]], parents: list[str]) -> list[str]:
+    """Chain of a name: prepends, itself, includes, parents."""
+    first: list[str] = []
+    then: list[str] = []
+    for kind, chain in mixins:
+        if kind == "prepend":
+            if any(e not in first for e in chain):
+                first = chain + [e for e in first if e not in chain]
+        else:
+            then = [e for e in chain if e not in first and e not in then and e not in parents] + then
+    return list(dict.fromkeys([*first, name, *then, *parents]))
 
 
 def chain_rows(chains: DataFrame) -> DataFrame:

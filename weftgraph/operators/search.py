@@ -53,6 +53,12 @@ def members_in_ancestors(asks: DataFrame, declarations: DataFrame, members: Data
     return out.select("name", "member", "only_inherited", "found", error.alias("error"))
 
 
+def ancestors_of(ancestors: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, chain): the complete ancestors of names(name) in their order, joined by blanks."""
+    own = ancestors.where("tag = 'complete'").join(names.select("name").distinct(), "name", "left_semi")
+    return own.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ancestor"))), lambda x: x["ancestor"]), " ").alias("chain"))
+
+
 def has_ancestor(ancestors: DataFrame, names: list[str]) -> DataFrame:
     """(name, has): whether any of the names is in the chain."""
     test = F.max(F.coalesce((F.col("tag") == "complete") & F.col("ancestor").isin(names), F.lit(False)))
@@ -69,7 +75,10 @@ def require_paths(documents: DataFrame, load_paths: DataFrame) -> DataFrame:
     from ..functions.names import require_path, uri_path
 
     own = documents.select("uri", uri_path("uri").alias("file")).where(F.col("file").endswith(".rb"))
-    pairs = own.join(F.broadcast(load_paths), F.col("file").startswith(F.concat(F.regexp_replace("path", "/+$", ""), F.lit("/"))))
+    # Each folder that the file is in, so that it meets the load paths by equality.
+    folders = F.expr("transform(sequence(1, size(split(file, '/')) - 1), i -> array_join(slice(split(file, '/'), 1, i), '/'))")
+    roots = load_paths.select("idx", "path", F.regexp_replace("path", "/+$", "").alias("folder"))
+    pairs = own.withColumn("folder", F.explode(folders)).join(roots, "folder")
     pairs = pairs.select(require_path(F.col("file"), F.col("path")).alias("require_path"), "uri", "idx")
     return pairs.groupBy("require_path").agg(F.min_by("uri", F.struct("idx", "uri")).alias("uri"), F.min("idx").alias("idx"))
 

@@ -66,6 +66,25 @@ def aggregates(e) -> bool:
     return False
 
 
+def conjuncts(e) -> list:
+    if isinstance(e, P.Binary) and e.op == "and":
+        return conjuncts(e.left) + conjuncts(e.right)
+    return [] if e is None else [e]
+
+
+def set_like(e) -> bool:
+    """Does an aggregate give the same whether rows repeat or not?"""
+    if isinstance(e, P.Call):
+        return e.name in ("min", "max") or e.distinct
+    if isinstance(e, P.Binary):
+        return set_like(e.left) and set_like(e.right)
+    if isinstance(e, P.Unary):
+        return set_like(e.arg)
+    if isinstance(e, (P.ListOf, P.MapOf)):
+        return all(set_like(x[1] if isinstance(e, P.MapOf) else x) for x in e.items)
+    return True
+
+
 def field(var: str, prop: str) -> Column:
     return F.col(f"`{var}.{prop}`")
 
@@ -127,7 +146,7 @@ def aggregate(e: P.Call, variables: set[str]) -> Column:
         total = F.sum_distinct(x) if e.distinct else F.sum(x)
         return F.coalesce(total, F.lit(0))
     if e.name == "avg":
-        return F.avg(x)
+        return F.try_divide(F.sum_distinct(x), F.countDistinct(x)).cast("double") if e.distinct else F.avg(x)
     return {"min": F.min, "max": F.max}[e.name](x)
 
 
@@ -142,6 +161,19 @@ class Compiler:
         for path in tree.paths:
             for n in path.nodes:
                 self.wanted.setdefault(n.var, set()).update(k for k, _ in n.props)
+        # What WHERE says of one variable, and the rest.
+        self.about: dict[str, list] = {}
+        self.rest: list = []
+        bound = {n.var for p in tree.paths for n in p.nodes}
+        for e in conjuncts(tree.where):
+            of = list(references(e, {}))
+            if len(of) == 1 and of[0] in bound and not aggregates(e):
+                self.about.setdefault(of[0], []).append(e)
+            else:
+                self.rest.append(e)
+        some = any(aggregates(i.expr) for i in tree.items)
+        #: Do repeated matches change nothing, so that it is enough to know which nodes can be reached?
+        self.as_set = all(set_like(i.expr) for i in tree.items) if some else tree.distinct
         known = {t.upper() for t in graph.relationship_types()}
         for path in tree.paths:
             for r in path.rels:
@@ -172,7 +204,7 @@ class Compiler:
         """The type of a property that a table lacks: what other tables have, else string."""
         for t in self.graph.nodes:
             if prop in t.props:
-                return dict(t.df.dtypes)[t.props[prop]]
+                return t.df.schema[t.props[prop]].dataType.simpleString()
         return "string"
 
     def hops(self, rel: P.Rel) -> list[tuple[EdgeTable, bool]]:
@@ -185,26 +217,48 @@ class Compiler:
     def edge(self, e: EdgeTable, back: bool, rel: P.Rel) -> DataFrame:
         a, b = ("dst", "src") if back else ("src", "dst")
         df = e.df.where(F.col("src") != F.col("dst")) if back and rel.direction == "both" and e.src == e.dst else e.df
-        mark = F.struct(F.lit(e.type).alias("t"), F.lit(e.src + ">" + e.dst).alias("w"), F.col("src").cast("string").alias("s"), F.col("dst").cast("string").alias("d"))
+        mark = F.struct(F.lit(e.type).alias("t"), F.lit(e.src + ">" + e.dst).alias("w"), F.col("src").cast("string").alias("s"), F.col("dst").cast("string").alias("d"), (F.col(e.key) if e.key else F.lit(None)).cast("string").alias("k"))
         return df.select(F.col(a).alias("@from"), F.col(b).alias("@to"), mark.alias("@edge"))
 
     # Patterns
 
-    def bound(self, node: P.Node) -> list[tuple[NodeTable, DataFrame]]:
+    def bound(self, node: P.Node, tables: set[str] | None = None) -> list[tuple[NodeTable, DataFrame]]:
+        """The nodes that a pattern can stand for, by table; tables: those that the schema leaves."""
         out = []
         for t in self.graph.nodes:
-            df = t.with_label(node.labels)
-            if df is None:
+            if tables is not None and t.name not in tables or not t.has_label(node.labels):
                 continue
-            own = self.node(node.var, t, df)
+            own = self.node(node.var, t, t.with_label(node.labels))
             for k, e in node.props:
                 own = own.where(field(node.var, k) == column(e, set()))
+            for e in self.about.get(node.var, []):
+                own = own.where(column(e, {node.var}))
             out.append((t, own))
         return out
 
+    def possible(self, path: P.Path) -> list[set[str]]:
+        """The tables that each node of a path can be in, so that no others are opened."""
+        may = [{t.name for t in self.graph.nodes if t.has_label(n.labels)} for n in path.nodes]
+
+        def ends(rel: P.Rel, sources: set[str]) -> set[str]:
+            steps = [((e.dst, e.src) if back else (e.src, e.dst)) for e, back in self.hops(rel)]
+            if rel.low is None:
+                return {b for a, b in steps if a in sources}
+            reach, new = set(sources) if rel.low == 0 else set(), set(sources)
+            while new:
+                new = {b for a, b in steps if a in new} - reach
+                reach |= new
+            return reach
+
+        for k, rel in enumerate(path.rels):
+            may[k + 1] &= ends(rel, may[k])
+        for k in range(len(path.rels) - 1, -1, -1):
+            may[k] = {t for t in may[k] if ends(path.rels[k], {t}) & may[k + 1]}
+        return may
+
     def path(self, path: P.Path) -> DataFrame | None:
         """All matches of a path, one column set for each of its variables."""
-        options = [self.bound(n) for n in path.nodes]
+        options = [self.bound(n, may) for n, may in zip(path.nodes, self.possible(path))]
         branches: list[tuple[str, DataFrame, list[tuple[str, bool]]]] = [(t.name, df, []) for t, df in options[0]]
         for k, rel in enumerate(path.rels):
             target = path.nodes[k + 1]
@@ -246,7 +300,9 @@ class Compiler:
         hops = self.hops(rel)
         low, high = rel.low or 0, rel.high
         found: dict[str, list[DataFrame]] = {}
-        nothing = "array<struct<t: string, w: string, s: string, d: string>>"
+        nothing = "array<struct<t: string, w: string, s: string, d: string, k: string>>"
+        if self.as_set and high is None and low <= 1 and rel.direction != "both" and self.alone(rel):
+            return self.reachable(hops, low, start, sources, targets, nothing)
         frontier = {start: sources.select("@from", F.col("@from").alias("@to"), F.array().cast(nothing).alias("@edge"))}
         if low == 0:
             found.setdefault(start, []).append(frontier[start])
@@ -272,6 +328,35 @@ class Compiler:
                         found.setdefault(name, []).append(df)
         return [(name, reduce(DataFrame.unionAll, dfs)) for name, dfs in found.items()]
 
+    def alone(self, rel: P.Rel) -> bool:
+        """Is there no other relationship in the query that could use the same edges?"""
+        own = {id(e) for e, _ in self.hops(rel)}
+        others = [r for p in self.tree.paths for r in p.rels if r is not rel]
+        return all(not own & {id(e) for e, _ in self.hops(r)} for r in others)
+
+    def reachable(self, hops, low: int, start: str, sources: DataFrame, targets: set[str], nothing: str) -> list[tuple[str, DataFrame]]:
+        """As repeated(), but each pair of ends once: directed ways that use an edge twice reach nothing that others don't."""
+        frontier = {start: cut(sources.select("@from", F.col("@from").alias("@to")))}
+        seen: dict[str, DataFrame] = {start: frontier[start]} if low == 0 else {}
+        while frontier:
+            later: dict[str, list[DataFrame]] = {}
+            for name, df in frontier.items():
+                for e, back in hops:
+                    if (e.dst if back else e.src) == name:
+                        a, b = ("dst", "src") if back else ("src", "dst")
+                        step = e.df.select(F.col(a).alias("~from"), F.col(b).alias("~to"))
+                        later.setdefault(e.src if back else e.dst, []).append(df.join(step, F.col("@to") == F.col("~from")).select("@from", F.col("~to").alias("@to")))
+            frontier = {}
+            for name, dfs in later.items():
+                new = reduce(DataFrame.unionAll, dfs).distinct()
+                if name in seen:
+                    new = new.join(seen[name], ["@from", "@to"], "left_anti")
+                new = cut(new)
+                if not empty(new):
+                    frontier[name] = new
+                    seen[name] = seen[name].unionAll(new) if name in seen else new
+        return [(name, df.withColumn("@edge", F.array().cast(nothing))) for name, df in seen.items() if name in targets]
+
     def unite(self, parts: list[DataFrame]) -> DataFrame:
         keep = [c for c in parts[0].columns if not c.startswith("@")]
         parts = [p.select(*[f"`{c}`" for c in keep]) for p in parts]
@@ -310,7 +395,10 @@ class Compiler:
                 else:
                     drop = [c for c in own.columns if c.split(".", 1)[0] in shared]
                     right = own.select(*[F.col(f"`{c}`").alias("~" + c if c in drop else c) for c in own.columns])
-                    on = [field(v, x).eqNullSafe(F.col(f"`~{v}.{x}`")) for v in shared for x in (":table", ":key")]
+                    # Keys of several tables together are strings.
+                    alike = {v: df.schema[f"{v}.:key"].dataType == own.schema[f"{v}.:key"].dataType for v in shared}
+                    same = lambda v, x: (lambda c: c if x != ":key" or alike[v] else c.cast("string"))
+                    on = [same(v, x)(field(v, x)).eqNullSafe(same(v, x)(F.col(f"`~{v}.{x}`"))) for v in shared for x in (":table", ":key")]
                     df = df.join(right, reduce(Column.__and__, on)).drop(*["~" + c for c in drop])
             seen |= variables
         assert df is not None
@@ -320,8 +408,8 @@ class Compiler:
         tree = self.tree
         variables = {n.var for p in tree.paths for n in p.nodes}
         df = self.match()
-        if tree.where is not None:
-            df = df.where(column(tree.where, variables))
+        for e in self.rest:
+            df = df.where(column(e, variables))
         names = [i.name for i in tree.items]
         if len(set(names)) < len(names):
             raise CypherExecutionError("two columns have the same name")

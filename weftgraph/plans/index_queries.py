@@ -1,65 +1,69 @@
-"""Queries over a code graph that is read from source text and resolved."""
+"""Queries that read Ruby sources made from the tables and resolve them, with SQL twins that compute the same from the tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.resolve import index
-from ..sources.codegraph import CodeGraph, values
+from ..operators.search import ancestors_of
 from ..sources.ruby import facts
-from .query import cypher
+from .catalogue import Code, duck
 
-SOURCES = [
-    ("file:///farm/base.rb", "module Loud\n  def shout; end\nend\n\nclass Beast\n  MAX = 3\n  def feed(food, slow: false)\n    @hungry = MAX\n  end\n  private\n  def sleep; end\nend\n"),
-    ("file:///farm/all.rb", "module Barn\n  class Horse < Beast\n    include Loud\n    def self.herd; end\n  end\n  class Mule < Horse\n    prepend Loud\n  end\n  Donkey = Mule\nend\nclass Barn::Goat < Beast; end\n"),
-]
-_graphs: dict[str, CodeGraph] = {}
+#: A file for each part, one for the modules, one for aliases.
+_SOURCES = """
+SELECT 'file:///w/lib/p' || p.k || '.rb' AS uri, 'module ' || p.brand || nl || '  class P' || p.k || CASE WHEN u.cls IS NOT NULL THEN ' < ' || u.cls ELSE '' END || nl
+  || CASE WHEN s.k IS NOT NULL THEN '    include S' || s.k || nl ELSE '' END || CASE WHEN n.k IS NOT NULL THEN '    prepend W' || n.k || nl ELSE '' END
+  || CASE WHEN p.size >= 40 THEN '    SIZE = ' || p.size || nl ELSE '' END || '    def m1(who, loud:)' || nl || '      @size = SIZE' || nl || '    end' || nl
+  || '    private' || nl || '    def m2; end' || nl || CASE WHEN p.size <= 5 THEN '    def self.make; end' || nl ELSE '' END || '  end' || nl || 'end' || nl AS source
+FROM p CROSS JOIN (SELECT chr(10) AS nl) c LEFT JOIN p u ON u.k = CAST(floor(p.k / 4) AS BIGINT) LEFT JOIN s ON s.k = p.k LEFT JOIN n ON n.k = p.k
+UNION ALL SELECT 'file:///w/lib/s' || s.k || '.rb', 'module S' || s.k || chr(10) || CASE WHEN n.k IS NOT NULL THEN '  include K' || n.k || chr(10) ELSE '' END || '  def s1; end' || chr(10) || 'end' || chr(10) FROM s LEFT JOIN n ON n.k = s.k
+UNION ALL SELECT 'file:///w/lib/w' || k || '.rb', 'module W' || k || '; end' || chr(10) || 'module K' || k || '; end' || chr(10) || 'Z' || k || ' = S1' || chr(10) FROM n
+"""
 
 
-def farm(spark: SparkSession) -> CodeGraph:
-    """The graph of SOURCES, made once for each application."""
-    app = spark.sparkContext.applicationId
-    if app not in _graphs:
-        _graphs.clear()
-        _graphs[app] = index(spark.createDataFrame(SOURCES, "uri string, source string"))
-    return _graphs[app]
+def sources(t: Code) -> DataFrame:
+    return t.sql("SELECT * FROM (" + _SOURCES + ") x")
 
 
-def _chains(spark, d):
-    own = farm(spark).ancestors.where("name LIKE 'Barn::%' AND name NOT LIKE '%>'")
-    return own.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ancestor"))), lambda x: x["ancestor"]), " ").alias("chain"))
+def _resolved(spark, d) -> DataFrame:
+    t = Code(spark, d)
+    g = index(sources(t))
+    defined = g.definitions.where("declaration IS NOT NULL").select(F.col("declaration").alias("name")).distinct()
+    decls = g.declarations.join(defined, "name", "left_semi").select(F.lit("declaration").alias("item"), F.col("name").alias("a"), F.col("kind").alias("b"), F.col("owner").alias("c"))
+    spaces = g.declarations.join(defined, "name", "left_semi").where("kind IN ('Class', 'Module')")
+    chains = ancestors_of(g.ancestors, spaces.select("name")).select(F.lit("chain"), "name", "chain", F.lit("complete"))
+    refs = g.constant_references.where("declaration IS NOT NULL").select(F.lit("reference"), "uri", "path", "declaration")
+    seen = g.definitions.where("kind = 'Method'").select(F.lit("visibility"), "declaration", "visibility", F.array_join(F.transform("params", lambda x: x["name"]), ","))
+    return decls.unionAll(chains).unionAll(refs).unionAll(seen)
 
 
-QUERIES = {
-    "index_facts": lambda spark, d: facts(spark.createDataFrame(SOURCES, "uri string, source string")).where("fact = 'definition'").groupBy("uri", "kind").agg(F.count("*").alias("n")),
-    "index_declarations": lambda spark, d: farm(spark).declarations.where("name LIKE 'Barn%' OR name LIKE 'Beast%' OR name LIKE 'Loud%'").select("name", "kind", "owner"),
-    "index_chains": _chains,
-    "code_cypher": lambda spark, d: cypher(farm(spark).property_graph(), "MATCH (c:Class)-[:HAS_ANCESTOR]->(b:Class {name: 'Beast'}) RETURN c.name AS name, c.unqualified_name AS short"),
-    "code_owns": lambda spark, d: cypher(farm(spark).property_graph(), "MATCH (c:Class)-[:OWNS]->(m:Method) RETURN c.name AS owner, m.unqualified_name AS method, m.visibility AS visibility"),
-    "code_references": lambda spark, d: cypher(farm(spark).property_graph(), "MATCH (d:Document)-[:REFERENCES]->(x) RETURN d.name AS file, x.name AS name"),
-}
+def _facts(spark, d) -> DataFrame:
+    return facts(sources(Code(spark, d))).groupBy("fact", "kind", "path").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
-_DECLS = [
-    ("Loud", "Module", "Object"), ("Loud#shout()", "Method", "Loud"), ("Beast", "Class", "Object"), ("Beast::MAX", "Constant", "Beast"), ("Beast#feed()", "Method", "Beast"), ("Beast#@hungry", "InstanceVariable", "Beast"), ("Beast#sleep()", "Method", "Beast"),
-    ("Barn", "Module", "Object"), ("Barn::Horse", "Class", "Barn"), ("Barn::Horse::<Horse>", "SingletonClass", "Barn::Horse"), ("Barn::Horse::<Horse>#herd()", "Method", "Barn::Horse::<Horse>"), ("Barn::Mule", "Class", "Barn"), ("Barn::Donkey", "ConstantAlias", "Barn"), ("Barn::Goat", "Class", "Barn"),
-    ("Beast::<Beast>", "SingletonClass", "Beast"),
-]
-_CHAINS = [
-    ("Barn::Horse", "Barn::Horse Loud Beast Object Kernel BasicObject"), ("Barn::Mule", "Loud Barn::Mule Barn::Horse Beast Object Kernel BasicObject"), ("Barn::Goat", "Barn::Goat Beast Object Kernel BasicObject"),
-]
-_FACTS = [(SOURCES[0][0], "Module", 1), (SOURCES[0][0], "Class", 1), (SOURCES[0][0], "Constant", 1), (SOURCES[0][0], "Method", 3), (SOURCES[0][0], "InstanceVariable", 1), (SOURCES[1][0], "Module", 1), (SOURCES[1][0], "Class", 3), (SOURCES[1][0], "Method", 1), (SOURCES[1][0], "ConstantAlias", 1)]
-
-
-def _all(rows: list[tuple], *columns: str) -> str:
-    return f"WITH {values('r', rows, list(columns))} SELECT * FROM r"
 
+QUERIES = {"index_facts": _facts, "index_resolved": _resolved}
 
+_OWN = "own AS (SELECT p.*, u.cls AS up, u.brand AS up_brand, s.k AS sk, n.k AS nk FROM p LEFT JOIN p u ON u.k = CAST(floor(p.k / 4) AS BIGINT) LEFT JOIN s ON s.k = p.k LEFT JOIN n ON n.k = p.k), atl AS (SELECT *, 3 + (sk IS NOT NULL)::INT + (nk IS NOT NULL)::INT AS l0 FROM own), ln AS (SELECT *, l0 + (size >= 40)::INT AS l1 FROM atl)"
+_SIZE = "sz AS (SELECT up.cls, arg_min(up.acls, up.i) AS holder FROM up JOIN p a ON a.cls = up.acls AND a.size >= 40 GROUP BY up.cls)"
 ORACLES = {
-    "index_facts": _all(_FACTS, "uri", "kind", "n"),
-    "index_declarations": _all(_DECLS, "name", "kind", "owner"),
-    "index_chains": _all(_CHAINS, "name", "chain"),
-    "code_cypher": _all([("Barn::Horse", "Horse"), ("Barn::Mule", "Mule"), ("Barn::Goat", "Goat")], "name", "short"),
-    "code_owns": _all([("Beast", "feed()", "public"), ("Beast", "sleep()", "private")], "owner", "method", "visibility"),
-    "code_references": _all([("base.rb", "Beast::MAX"), ("all.rb", "Beast"), ("all.rb", "Loud"), ("all.rb", "Barn::Horse"), ("all.rb", "Barn::Mule"), ("all.rb", "Barn")], "file", "name"),
-}
+    "index_facts": duck(
+        "SELECT fact, kind, path, count(*) AS n, sum(line)::BIGINT AS lines FROM f GROUP BY 1, 2, 3",
+        _OWN,
+        """f AS (SELECT 'definition' AS fact, 'Module' AS kind, brand AS path, 1 AS line FROM p UNION ALL SELECT 'definition', 'Class', 'P' || k, 2 FROM p UNION ALL SELECT 'constant', 'ref', up_brand, 2 FROM own WHERE up IS NOT NULL UNION ALL SELECT 'constant', 'ref', up, 2 FROM own WHERE up IS NOT NULL
+        UNION ALL SELECT 'constant', 'ref', 'S' || sk, 3 FROM own WHERE sk IS NOT NULL UNION ALL SELECT 'constant', 'ref', 'W' || nk, 3 + (sk IS NOT NULL)::INT FROM own WHERE nk IS NOT NULL UNION ALL SELECT 'definition', 'Constant', 'SIZE', l0 FROM atl WHERE size >= 40
+        UNION ALL SELECT 'definition', 'Method', 'm1()', l1 FROM ln UNION ALL SELECT 'definition', 'InstanceVariable', '@size', l1 + 1 FROM ln UNION ALL SELECT 'constant', 'ref', 'SIZE', l1 + 1 FROM ln UNION ALL SELECT 'definition', 'Method', 'm2()', l1 + 4 FROM ln UNION ALL SELECT 'definition', 'Method', 'make()', l1 + 5 FROM ln WHERE size <= 5
+        UNION ALL SELECT 'definition', 'Module', name, 1 FROM s UNION ALL SELECT 'constant', 'ref', 'K' || n.k, 2 FROM s JOIN n ON n.k = s.k UNION ALL SELECT 'definition', 'Method', 's1()', 2 + (n.k IS NOT NULL)::INT FROM s LEFT JOIN n ON n.k = s.k
+        UNION ALL SELECT 'definition', 'Module', 'W' || k, 1 FROM n UNION ALL SELECT 'definition', 'Module', 'K' || k, 2 FROM n UNION ALL SELECT 'definition', 'ConstantAlias', 'Z' || k, 3 FROM n UNION ALL SELECT 'constant', 'ref', 'S1', 3 FROM n)""",
+    ),
+    "index_resolved": duck(
+        """SELECT 'declaration' AS item, brand AS a, 'Module' AS b, 'Object' AS c FROM br UNION ALL SELECT 'declaration', cls, 'Class', brand FROM p UNION ALL SELECT 'declaration', cls || '::SIZE', 'Constant', cls FROM p WHERE size >= 40
+        UNION ALL SELECT 'declaration', cls || '#m1()', 'Method', cls FROM p UNION ALL SELECT 'declaration', cls || '#m2()', 'Method', cls FROM p UNION ALL SELECT 'declaration', cls || '#@size', 'InstanceVariable', cls FROM p UNION ALL SELECT 'declaration', cls || '::<P' || k || '>#make()', 'Method', cls || '::<P' || k || '>' FROM p WHERE size <= 5
+        UNION ALL SELECT 'declaration', name, 'Module', 'Object' FROM s UNION ALL SELECT 'declaration', name || '#s1()', 'Method', name FROM s UNION ALL SELECT 'declaration', x || k, 'Module', 'Object' FROM n CROSS JOIN (VALUES ('W'), ('K')) t(x) UNION ALL SELECT 'declaration', 'Z' || k, 'ConstantAlias', 'Object' FROM n
+        UNION ALL SELECT 'chain', name, string_agg(ancestor, ' ' ORDER BY pos), 'complete' FROM anc WHERE name NOT IN ('Object', 'Kernel', 'BasicObject') GROUP BY name
+        UNION ALL SELECT 'visibility', cls || '#m1()', 'public', 'who,loud' FROM p UNION ALL SELECT 'visibility', cls || '#m2()', 'private', '' FROM p UNION ALL SELECT 'visibility', cls || '::<P' || k || '>#make()', 'public', '' FROM p WHERE size <= 5 UNION ALL SELECT 'visibility', name || '#s1()', 'public', '' FROM s
+        UNION ALL SELECT 'reference', 'file:///w/lib/p' || k || '.rb', x, x FROM own CROSS JOIN LATERAL (SELECT unnest([up_brand, up, 'S' || sk, 'W' || nk]) AS x) WHERE x IS NOT NULL
+        UNION ALL SELECT 'reference', 'file:///w/lib/p' || k || '.rb', 'SIZE', holder || '::SIZE' FROM p JOIN sz ON sz.cls = p.cls UNION ALL SELECT 'reference', 'file:///w/lib/s' || s.k || '.rb', 'K' || n.k, 'K' || n.k FROM s JOIN n ON n.k = s.k UNION ALL SELECT 'reference', 'file:///w/lib/w' || k || '.rb', 'S1', 'S1' FROM n""",
+        _OWN, _SIZE,
+    ),
+}

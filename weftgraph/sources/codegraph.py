@@ -1,13 +1,15 @@
-"""Code graphs: the tables, their property-graph view, and a literal fixture."""
+"""Code graphs: the tables and their property-graph view."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import unqualified, uri_name, uri_path
+from ..functions.shared import cut
 from ..graph import EdgeTable, NodeTable, PropertyGraph
 
 SCHEMAS = {
@@ -48,64 +50,63 @@ class CodeGraph:
         return cls(**{k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()})
 
     def property_graph(self) -> PropertyGraph:
-        """The graph that Cypher queries run on: Document, Definition and Declaration nodes, eleven relationship types."""
-        docs = self.documents.select("uri", uri_path("uri").alias("path"), uri_name("uri").alias("name"))
-        counts = self.definitions.where("declaration IS NOT NULL").groupBy(F.col("declaration").alias("name")).agg(F.count("*").alias("definition_count"))
-        from ..operators.aliases import visibility
-
-        decls = self.declarations.select("name", "kind", unqualified("name").alias("unqualified_name")).join(counts, "name", "left").join(visibility(self.declarations, self.definitions), "name", "left")
-        decls = decls.withColumn("definition_count", F.coalesce("definition_count", F.lit(0)))
-        defs = self.definitions.select("id", "kind", F.coalesce("declaration", F.lit("")).alias("name"), F.col("uri").alias("file"), "line")
-        of_kind = lambda *k: lambda: F.col("kind").isin(*k)
-        labels = {k: of_kind(k) for k in DECLARATION_LABELS} | {"Namespace": of_kind(*NAMESPACES), "Declaration": None, "Todo": of_kind("<TODO>")}
-        nodes = [
-            NodeTable("Document", docs, "uri", {"Document": None}, {"uri": "uri", "path": "path", "name": "name"}),
-            NodeTable("Definition", defs, "id", {"Definition": None}, {"name": "name", "file": "file", "line": "line"}, "kind"),
-            NodeTable("Declaration", decls, "name", labels, {p: p for p in ("name", "unqualified_name", "visibility", "definition_count")}, "kind"),
-        ]
+        """The graph that Cypher queries run on: Document, Definition and Declaration nodes, eleven relationship types. Each table is made when a query needs it."""
+        from ..operators.aliases import resolve_aliases, visibility
+
         d = self.definitions
         linked = d.where("declaration IS NOT NULL")
         kinds = self.declarations.select("name", "kind")
         spaces = kinds.where(F.col("kind").isin(*NAMESPACES)).select(F.col("name").alias("dst"))
-        from ..operators.aliases import resolve_aliases
+
+        def documents() -> DataFrame:
+            return self.documents.select("uri", uri_path("uri").alias("path"), uri_name("uri").alias("name"))
+
+        def declarations() -> DataFrame:
+            counts = linked.groupBy(F.col("declaration").alias("name")).agg(F.count("*").alias("definition_count"))
+            own = self.declarations.select("name", "kind", unqualified("name").alias("unqualified_name")).join(counts, "name", "left").join(visibility(self.declarations, d), "name", "left")
+            return own.withColumn("definition_count", F.coalesce("definition_count", F.lit(0)))
+
+        def definitions() -> DataFrame:
+            return d.select("id", "kind", F.coalesce("declaration", F.lit("")).alias("name"), F.col("uri").alias("file"), "line")
+
+        @cache
+        def followed() -> DataFrame | None:
+            if not d.where("kind = 'ConstantAlias'").limit(1).count():
+                return None
+            return cut(resolve_aliases(d, self.declarations).where("resolved IS NOT NULL").select(F.col("name").alias("dst"), "resolved"))
 
         def to_namespace(df: DataFrame) -> DataFrame:
             """(src, dst) with aliases followed to a namespace."""
-            if not d.where("kind = 'ConstantAlias'").limit(1).count():
-                return df.join(spaces, "dst", "left_semi").distinct().select("src", "dst")
-            real = resolve_aliases(d, self.declarations).where("resolved IS NOT NULL").select(F.col("name").alias("dst"), "resolved")
-            return df.join(real, "dst", "left").select("src", F.coalesce("resolved", "dst").alias("dst")).join(spaces, "dst", "left_semi").distinct().select("src", "dst")
+            real = followed()
+            if real is not None:
+                df = df.join(real, "dst", "left").select("src", F.coalesce("resolved", "dst").alias("dst"))
+            return df.join(spaces, "dst", "left_semi").distinct().select("src", "dst")
 
-        mixed = linked.select(F.col("declaration").alias("src"), F.explode("mixins").alias("x")).select("src", F.col("x.kind").alias("k"), F.col("x.target").alias("dst"))
+        def mixed(kind: str) -> DataFrame:
+            each = linked.select(F.col("declaration").alias("src"), F.explode("mixins").alias("x"))
+            return to_namespace(each.where(F.col("x.kind") == kind).select("src", F.col("x.target").alias("dst")))
+
+        def pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+            return df.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+
+        of_kind = lambda *k: lambda: F.col("kind").isin(*k)
+        labels = {k: of_kind(k) for k in DECLARATION_LABELS} | {"Namespace": of_kind(*NAMESPACES), "Declaration": None, "Todo": of_kind("<TODO>")}
+        nodes = [
+            NodeTable("Document", documents, "uri", {"Document": None}, {"uri": "uri", "path": "path", "name": "name"}),
+            NodeTable("Definition", definitions, "id", {"Definition": None}, {"name": "name", "file": "file", "line": "line"}, "kind"),
+            NodeTable("Declaration", declarations, "name", labels, {p: p for p in ("name", "unqualified_name", "visibility", "definition_count")}, "kind"),
+        ]
         chain = self.ancestors.where("tag = 'complete'")
-        refs = self.constant_references.where("declaration IS NOT NULL").select(F.col("uri").alias("src"), F.col("declaration").alias("dst")).distinct()
+        among = lambda kind, source: EdgeTable(kind, "Declaration", "Declaration", source)
         edges = [
-            EdgeTable("DEFINES", "Document", "Definition", d.select(F.col("uri").alias("src"), F.col("id").alias("dst"))),
-            EdgeTable("DECLARES", "Definition", "Declaration", linked.select(F.col("id").alias("src"), F.col("declaration").alias("dst"))),
-            EdgeTable("CONTAINS", "Definition", "Definition", d.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst"))),
-            EdgeTable("HAS_PARENT", "Declaration", "Declaration", to_namespace(linked.where("superclass IS NOT NULL").select(F.col("declaration").alias("src"), F.col("superclass").alias("dst")))),
-            *(EdgeTable(t, "Declaration", "Declaration", to_namespace(mixed.where(F.col("k") == k).drop("k"))) for t, k in (("INCLUDES", "include"), ("PREPENDS", "prepend"), ("EXTENDS", "extend"))),
-            EdgeTable("OWNS", "Declaration", "Declaration", self.members.select(F.col("owner").alias("src"), F.col("name").alias("dst"))),
-            EdgeTable("HAS_ANCESTOR", "Declaration", "Declaration", chain.where("name <> ancestor").select(F.col("name").alias("src"), F.col("ancestor").alias("dst"))),
-            EdgeTable("HAS_DESCENDANT", "Declaration", "Declaration", self.descendants.select(F.col("name").alias("src"), F.col("descendant").alias("dst"))),
-            EdgeTable("REFERENCES", "Document", "Declaration", refs),
+            EdgeTable("DEFINES", "Document", "Definition", lambda: pairs(d, "uri", "id")),
+            EdgeTable("DECLARES", "Definition", "Declaration", lambda: pairs(linked, "id", "declaration")),
+            EdgeTable("CONTAINS", "Definition", "Definition", lambda: pairs(d.where("parent IS NOT NULL"), "parent", "id")),
+            among("HAS_PARENT", lambda: to_namespace(pairs(linked.where("superclass IS NOT NULL"), "declaration", "superclass"))),
+            *(among(t, lambda k=k: mixed(k)) for t, k in (("INCLUDES", "include"), ("PREPENDS", "prepend"), ("EXTENDS", "extend"))),
+            among("OWNS", lambda: pairs(self.members, "owner", "name")),
+            among("HAS_ANCESTOR", lambda: pairs(chain.where("name <> ancestor"), "name", "ancestor")),
+            among("HAS_DESCENDANT", lambda: pairs(self.descendants, "name", "descendant")),
+            EdgeTable("REFERENCES", "Document", "Declaration", lambda: pairs(self.constant_references.where("declaration IS NOT NULL"), "uri", "declaration").distinct()),
         ]
-        return PropertyGraph(nodes, edges, self.version)
-
-
-def _sql(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    if isinstance(v, list):
-        return "[" + ", ".join(map(_sql, v)) + "]"
-    return str(v)
-
-
-def values(name: str, rows: list[tuple], columns: list[str]) -> str:
-    """A common table expression with literal rows."""
-    body = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
-    return f"{name}({', '.join(columns)}) AS (VALUES {body})"
+        return PropertyGraph(nodes, edges, self.version, session=d.sparkSession)

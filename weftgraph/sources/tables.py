@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +14,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _node(name: str, df: DataFrame, key: str, props: dict[str, str], group: str | None = None) -> NodeTable:
-    return NodeTable(name, df, key, {name: None} | ({group: None} if group else {}), props)
+def _node(name: str, source, key: str, props: dict[str, str], group: str | None = None) -> NodeTable:
+    return NodeTable(name, source, key, {name: None} | ({group: None} if group else {}), props)
 
 
-def _edge(kind: str, src: str, dst: str, df: DataFrame, a: str, b: str) -> EdgeTable:
-    return EdgeTable(kind, src, dst, df.select(F.col(a).alias("src"), F.col(b).alias("dst")))
+def _edge(kind: str, src: str, dst: str, source, a: str, b: str) -> EdgeTable:
+    return EdgeTable(kind, src, dst, lambda: source().select(F.col(a).alias("src"), F.col(b).alias("dst")))
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    t = {n: read(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")}
-    turns = t["conversations"].withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
+    """The tables as nodes, their keys as edges. A table is opened when a query needs it."""
+    t = {n: cache(lambda n=n: read(spark, sf_dir, n)) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")}
+
+    @cache
+    def turns():
+        return t["conversations"]().withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
+
     nodes = [
         _node("Region", t["region"], "r_regionkey", {"name": "r_name"}, "Place"),
         _node("Nation", t["nation"], "n_nationkey", {"name": "n_name"}, "Place"),
@@ -35,13 +42,21 @@ def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         _node("Turn", turns, "turn_id", {"role": "role", "turn": "turn", "conv": "conv_id", "name": "turn_id"}),
         _node("Page", t["pages"], "page_id", {"url": "url", "id": "page_id"}),
     ]
-    line = t["lineitem"]
-    supplies = line.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    refers = line.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    after = turns.select(F.col("turn_id").alias("a"), F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("n"))
-    follows = after.join(turns.select("conv_id", "turn", F.col("turn_id").alias("b")), (F.col("c") == F.col("conv_id")) & (F.col("n") == F.col("turn")))
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    chain = t["events"].select(F.col("event_id").alias("a"), F.lead("event_id").over(order).alias("b")).where("b IS NOT NULL")
+
+    def supplies():
+        return t["lineitem"]().select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+
+    def refers():
+        return t["lineitem"]().select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+
+    def follows():
+        after = turns().select(F.col("turn_id").alias("a"), F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("n"))
+        return after.join(turns().select("conv_id", "turn", F.col("turn_id").alias("b")), (F.col("c") == F.col("conv_id")) & (F.col("n") == F.col("turn")))
+
+    def chain():
+        order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        return t["events"]().select(F.col("event_id").alias("a"), F.lead("event_id").over(order).alias("b")).where("b IS NOT NULL")
+
     edges = [
         _edge("OWNS", "Region", "Nation", t["nation"], "n_regionkey", "n_nationkey"),
         _edge("OWNS", "Nation", "Customer", t["customer"], "c_nationkey", "c_custkey"),
@@ -56,4 +71,4 @@ def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         _edge("NEXT", "Turn", "Turn", follows, "a", "b"),
         _edge("NEXT_EVENT", "Event", "Event", chain, "a", "b"),
     ]
-    return PropertyGraph(nodes, edges)
+    return PropertyGraph(nodes, edges, session=spark)
