@@ -72,6 +72,7 @@ class Reader:
     uri: str
     source: str
     rows: list[dict] = field(default_factory=list)
+    by_id: dict[int, dict] = field(default_factory=dict)
 
     def read(self) -> list[dict]:
         text = blank(self.source)
@@ -112,7 +113,7 @@ class Reader:
         row = {"uri": self.uri, "fact": fact, "kind": kind, "path": path, "start": self._byte(start), "end": self._byte(end), "line": line, "scope": scope, "singleton": False, "deprecated": False, "promotable": False, "mixins": [], "params": [], "comments": [], **more}
         # The scopes' names, if each is what its text says: a first guess for the resolver.
         names: list[str] = []
-        for r in (next(x for x in self.rows if x["id"] == i) for i in scope):
+        for r in (self.by_id[i] for i in scope):
             own = r["path"].removeprefix("::")
             if r["kind"] == "SingletonClass":
                 of = names[-1] if own == "self" and names else own
@@ -122,6 +123,7 @@ class Reader:
         row["lexical"] = names
         row["id"] = _identity(self.uri, row["start"], fact, kind, path or "", str(len(self.rows)))
         self.rows.append(row)
+        self.by_id[row["id"]] = row
         return row
 
     def _space(self, frames: list[_Frame]) -> _Frame:
@@ -205,7 +207,8 @@ class Reader:
             return
         if m := re.match(r"(attr_accessor|attr_reader|attr_writer|attr)\b\s*\(?(.*?)\)?$", s):
             kind = {"attr_accessor": "AttrAccessor", "attr_writer": "AttrWriter"}.get(m[1], "AttrReader")
-            for n in re.findall(r":([A-Za-z_]\w*[?!]?)", m[2]):
+            names = self.source[at + m.start(2) : at + m.end(2)] if len(self.source) > at else m[2]
+            for n in re.findall(r"(?::|[\"'])([A-Za-z_]\w*[?!]?)[\"']?", names):
                 self._add("definition", kind, f"{n}()", at, at + len(s), line, frames, visibility="private" if vis == "module_function" else vis, **common)
             return
         if m := re.match(r"(include|prepend|extend)\b\s*\(?(.*?)\)?$", s):
@@ -214,7 +217,7 @@ class Reader:
                     self._add("diagnostic", "TopLevelMixinSelf", "self can't be mixed in at the top level", at, at + len(s), line, frames)
                 self._refs(m[2], at + m.start(2), line, frames)
                 return
-            owner = next(r for r in self.rows if r["id"] == space.id)
+            owner = self.by_id[space.id]
             found = [x.strip() for x in m[2].split(",") if x.strip()]
             for x in reversed(found):
                 if re.fullmatch(_PATH, x):
@@ -296,13 +299,21 @@ def _params(text: str) -> list[dict]:
     return out
 
 
+def read_file(uri: str, source: str) -> list[dict]:
+    """The facts of a file: a signature file by its ending, anything else as source."""
+    from .rbs import SignatureReader
+
+    kind = SignatureReader if uri and uri.endswith(".rbs") else Reader
+    return kind(uri, source).read()
+
+
 def facts(sources: DataFrame) -> DataFrame:
-    """FACTS of sources(uri, source); a null source is an empty file."""
+    """FACTS of sources(uri, source), source files and signature files alike; a null source is an empty file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = Reader(uri, source or "").read()
+                rows = read_file(uri, source or "")
                 if rows:
                     yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in kinds.names} for r in rows], schema=kinds)
 
