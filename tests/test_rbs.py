@@ -1,5 +1,5 @@
 from weftgraph.sources.rbs import SignatureReader
-from weftgraph.sources.ruby import read_file
+from weftgraph.sources.facts import read_file
 
 TEXT = '''# Animals.
 # Many.

@@ -141,3 +141,26 @@ def html(text: Column) -> Column:
 
 def comment_text(line: Column) -> Column:
     return F.regexp_replace(line, "^# ?", "")
+
+
+def name_depth(path: Column | str, nesting: Column | str) -> Column:
+    """Depth of a name: one for itself, plus the depths of what stands before it and of the scope around it.
+
+    Every part of a path stands in the same scope, so a path of m parts in a scope of depth d has m * (1 + d).
+    """
+    parts = lambda p: F.size(F.filter(F.split(p, "::"), lambda x: x != ""))
+    around = F.aggregate(_c(nesting), F.lit(0), lambda d, p: parts(p) * (1 + d))
+    return parts(_c(path)) * (1 + around)
+
+
+#: Groups of a signature's parameters, in order.
+GROUPS = ("required_positional", "optional_positional", "rest_positional", "post", "required_keyword", "optional_keyword", "rest_keyword", "block", "forward")
+
+
+def signature(params: Column | str) -> Column:
+    """The names of a signature's parameters by group; of several signatures the first."""
+    own = _c(params)
+    others = F.array_position(F.transform(own, lambda p: p["kind"]), F.lit("overload"))
+    first = F.when(others > 0, F.slice(own, 1, (others - 1).cast("int"))).otherwise(own)
+    of = lambda g: F.transform(F.filter(first, lambda p: p["kind"] == g), lambda p: p["name"]).alias(g)
+    return F.struct(*map(of, GROUPS))

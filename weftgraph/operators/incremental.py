@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut, empty
 from ..sources.codegraph import CodeGraph
-from ..sources.ruby import facts as read_facts
+from ..sources.facts import facts as read_facts
 from .resolve import resolve
 
 

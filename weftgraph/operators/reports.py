@@ -56,6 +56,30 @@ def orphans(definitions: DataFrame) -> DataFrame:
     return own.select("kind", F.coalesce("str", F.lit("")).alias("name"), F.concat("uri", F.lit("#L"), "line").alias("location"))
 
 
+def orphan_names(definitions: DataFrame) -> DataFrame:
+    """(id, name): the full path of each orphan, its own name after those of the definitions around it.
+
+    Methods and variables stand after '#', constants after '::'. There are as many joins as the deepest nesting.
+    """
+    own = definitions.select("id", "parent", F.coalesce("str", F.lit("")).alias("str"), "kind", "declaration")
+    around = cut(own.select(F.col("id").alias("at"), F.col("parent").alias("up"), F.col("str").alias("outer"), F.col("declaration").alias("known")))
+    sign = F.when(F.col("kind").isin("Class", "Module", "SingletonClass", "Constant", "ConstantAlias", "ConstantVisibility"), F.lit("::")).otherwise(F.lit("#"))
+    work, done = cut(own.where("declaration IS NULL").select("id", "parent", F.col("str").alias("name"), sign.alias("sign"))), None
+    while not empty(work):
+        ended = work.where("parent IS NULL").select("id", "name")
+        done = ended if done is None else done.unionAll(ended)
+        step = work.where("parent IS NOT NULL").join(around, F.col("parent") == F.col("at"), "left")
+        # What is declared has its full name already.
+        joined = F.concat_ws("", F.coalesce("known", "outer"), "sign", "name")
+        work = cut(step.select("id", F.when(F.col("known").isNull(), F.col("up")).alias("parent"), joined.alias("name"), F.lit("::").alias("sign")))
+    return done if done is not None else own.where("false").select("id", F.col("str").alias("name"))
+
+
+def reference_counts(references: DataFrame) -> DataFrame:
+    """(path, n, resolved): how often each name is used, and how many of these uses are resolved."""
+    return references.groupBy("path").agg(F.count("*").alias("n"), F.count("declaration").alias("resolved"))
+
+
 def write_orphans(definitions: DataFrame, path: str) -> None:
     """The orphan report as tab-separated text."""
     orphans(definitions).write.mode("overwrite").option("sep", "\t").csv(path)

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import constant_name, singleton_name
-from ..functions.shared import cut
+from ..functions.shared import cut, empty
 from ..sources.codegraph import CodeGraph
-from ..sources.ruby import facts as read_facts
+from ..sources.facts import facts as read_facts
 from .linearize import chain_rows, linearize
 from .reports import BUILT_IN
 
@@ -97,14 +97,15 @@ def _alias_ends(defs: DataFrame, placed: DataFrame, nested: DataFrame, found: Da
     own = nested.where("kind = 'ConstantAlias'").join(placed.select("id", "name"), "id")
     first = own.join(found.select("nesting", F.col("path").alias("target"), F.col("found").alias("to")), ["nesting", "target"])
     first = cut(first.groupBy("name").agg(F.min_by("to", F.struct("uri", "start")).alias("to")))
-    ends = first
-    for _ in range(8):
+    work, done = first.select("name", "to", F.array("name", "to").alias("seen")), None
+    while True:
         step = first.select(F.col("name").alias("to"), F.col("to").alias("far"))
-        longer = ends.join(step, "to", "left")
-        if not longer.where("far IS NOT NULL").limit(1).count():
-            break
-        ends = cut(longer.where("far IS NULL OR far <> name").select("name", F.coalesce("far", "to").alias("to")))
-    return ends.select("name", F.col("to").alias("resolved"))
+        longer = cut(work.join(step, "to", "left"))
+        ended = longer.where("far IS NULL").select("name", F.col("to").alias("resolved"))
+        done = ended if done is None else done.unionAll(ended)
+        work = longer.where("far IS NOT NULL AND NOT array_contains(seen, far)").select("name", F.col("far").alias("to"), F.array_append("seen", F.col("far")).alias("seen"))
+        if empty(work):
+            return done
 
 
 def resolve(facts: DataFrame, documents: DataFrame | None = None) -> CodeGraph:
@@ -120,13 +121,15 @@ def resolve(facts: DataFrame, documents: DataFrame | None = None) -> CodeGraph:
     spaces = cut(shaped.select("id", F.when(F.col("kind") == "SingletonClass", singleton_name(single)).otherwise(guess).alias("name")))
     todo = spark.createDataFrame([], "name string, kind string, owner string")
     found = spark.createDataFrame([], "nesting array<string>, path string, found string")
-    known, filled = None, False
+    none = spark.createDataFrame([], "name string, resolved string")
+    known, filled, memo = None, False, {}
+    aliased = not empty(defs.where("kind = 'ConstantAlias'"))
     while True:
         nested = cut(_nested(defs, spaces))
         placed = cut(_placed(nested.where(F.col("kind").isin(*CONSTANT_KINDS, "SingletonClass")), found))
         decls = _merged(shaped, placed).unionAll(todo)
         decls = cut(base.select("name", "kind", "owner").join(decls.select("name"), "name", "left_anti").unionAll(decls.join(base.select("name"), "name", "left_anti")).unionAll(base.select("name", "kind", "owner").join(decls.select("name"), "name", "left_semi")))
-        aliases = cut(_alias_ends(defs, placed, nested, found))
+        aliases = cut(_alias_ends(defs, placed, nested, found)) if aliased else none
         real = lambda c: F.coalesce("resolved", c)
         follow = lambda df, c: df.join(aliases.withColumnRenamed("name", c), c, "left").withColumn(c, real(F.col(c))).drop("resolved")
         inside = nested.join(placed.select("id", "name"), "id").where(F.col("kind").isin("Class", "Module", "SingletonClass"))
@@ -136,12 +139,11 @@ def resolve(facts: DataFrame, documents: DataFrame | None = None) -> CodeGraph:
         mixed = follow(mixed.join(found, ["nesting", "path"], "left").withColumn("to", F.coalesce("found", "path")).drop("found"), "to")
         ord_ = F.row_number().over(Window.partitionBy("name").orderBy("uri", "start", "k")).cast("int")
         mixed = cut(mixed.select("name", ord_.alias("ord"), "kind", F.col("to").alias("target")))
-        chains, singles = _chains(decls, base, ups, mixed, inside, nested, found)
-        ancestors = cut(chain_rows(chains))
+        chains, ancestors, singles = _chains(decls, base, ups, mixed, inside, nested, found, memo)
         members = decls.where("kind <> 'SingletonClass' AND NOT (name = 'Object' AND owner = 'Object')").select("owner", F.element_at(F.split("name", "::"), -1).alias("member"), "name")
         kinds = decls.select("name", "kind").join(chains.select("name", "state"), "name", "left")
-        refs = facts.where("fact = 'constant'")
-        asks = _asks(nested, _nested(refs, placed.select("id", "name")))
+        uses = facts.where("fact = 'constant' OR fact = 'call' AND receiver IS NOT NULL").withColumn("path", F.when(F.col("fact") == "call", F.col("receiver")).otherwise(F.col("path")))
+        asks = _asks(nested, _nested(uses, placed.select("id", "name")))
         found = cut(lookup_names(asks, members, ancestors, kinds, aliases))
         spaces = placed.select("id", "name")
         now = (_digest(placed), _digest(found))
@@ -175,8 +177,8 @@ def _asks(nested: DataFrame, refs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).where("path IS NOT NULL AND path <> ''").distinct()
 
 
-def _chains(decls, base, ups, mixed, inside, nested, found) -> tuple[DataFrame, DataFrame]:
-    """(chains, the singleton classes (name, owner) that exist)."""
+def _chains(decls, base, ups, mixed, inside, nested, found, memo: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chains, their rows, the singleton classes (name, owner) that exist); memo: the chains of the pass before."""
     spaces = decls.where(F.col("kind").isin("Class", "Module", "<TODO>")).join(ups, "name", "left").join(base.select("name", F.col("superclass").alias("given")), "name", "left")
     up = F.when(F.col("kind") == "Class", F.when(F.col("name") == "BasicObject", F.lit(None)).otherwise(F.coalesce("up", "given", F.lit("Object"))))
     spaces = cut(spaces.select("name", "kind", up.alias("superclass")))
@@ -200,9 +202,13 @@ def _chains(decls, base, ups, mixed, inside, nested, found) -> tuple[DataFrame,
     singles = cut(singles.select(singleton_name(F.col("of")).alias("name"), F.lit("Class").alias("kind"), parent.alias("superclass"), "of"))
     missing = singles.select("name", "kind", F.when(F.col("superclass").endswith(">") & ~F.col("superclass").isin("Class", "Module"), F.col("superclass")).otherwise(F.col("superclass")).alias("superclass"))
     extends = mixed.where("kind = 'extend'").select(singleton_name(F.col("name")).alias("name"), "ord", F.lit("include").alias("kind"), "target")
-    opened_mixins = plain.select("name", "ord", "kind", "target")
-    chains = cut(linearize(spaces.unionAll(missing), opened_mixins.unionAll(extends)))
-    return chains, singles.select("name", F.col("of").alias("owner"))
+    every, mixins = cut(spaces.unionAll(missing)), cut(plain.select("name", "ord", "kind", "target").unionAll(extends))
+    # Most passes leave superclasses and mixins as they were, and so the chains.
+    marks = (_digest(every), _digest(mixins))
+    if memo.get("of") != marks:
+        memo["of"], memo["chains"] = marks, cut(linearize(every, mixins))
+        memo["rows"] = cut(chain_rows(memo["chains"]))
+    return memo["chains"], memo["rows"], singles.select("name", F.col("of").alias("owner"))
 
 
 def _assemble(facts, documents, nested, placed, decls, singles, chains, ancestors, members, found, aliases) -> CodeGraph:
@@ -250,7 +256,8 @@ def _assemble(facts, documents, nested, placed, decls, singles, chains, ancestor
     )
     refs = facts.where("fact = 'constant'")
     refs = _nested(refs, placed.select("id", "name")).join(found, ["nesting", "path"], "left").select("uri", "start", "end", "line", F.lit(None).cast("int").alias("column"), "path", F.col("found").alias("declaration"))
-    calls = facts.where("fact = 'call'").select("uri", "start", "end", F.col("path").alias("message"), "receiver")
+    calls = _nested(facts.where("fact = 'call'"), placed.select("id", "name")).join(receiver, ["nesting", "receiver"], "left")
+    calls = calls.select("uri", "start", "end", F.col("path").alias("message"), "receiver", F.col("of").alias("declaration"))
     lost = named.join(good, "id", "left_anti").where("kind IN ('MethodVisibility', 'ConstantVisibility')")
     rule = F.when(F.col("kind") == "MethodVisibility", "UndefinedMethodVisibilityTarget").otherwise("UndefinedConstantVisibilityTarget")
     diagnostics = facts.where("fact = 'diagnostic'").select(F.col("kind").alias("rule"), "uri", "start", "end", "line", F.col("path").alias("message"))

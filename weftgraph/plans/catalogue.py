@@ -148,7 +148,7 @@ class Code:
     @property
     def graph(self) -> CodeGraph:
         docs = self.table("docs").withColumn("content_hash", F.xxhash64("uri"))
-        calls = self.refs.select("uri", "start", "end", F.lit("run").alias("message"), F.lit(None).cast("string").alias("receiver"))
+        calls = self.refs.select("uri", "start", "end", F.lit("run").alias("message"), F.col("path").alias("receiver"), "declaration")
         return CodeGraph(docs, self.defs, self.decls, self.members, self.anc, self.refs, calls, self.diags)
 
     def one(self, body: str) -> str:

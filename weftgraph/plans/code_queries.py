@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import column_of, line_of, relative_to, unqualified
+from ..functions.names import column_of, line_of, name_depth, relative_to, signature, unqualified
 from ..operators import aliases, completion, incremental, linearize, lint, reports, resolve, search, tools
 from ..sources.tables import read
 from .catalogue import Code, duck
@@ -157,6 +157,10 @@ QUERIES = {
     "upsert_delete": _upserted,
     "invalidate_closure": code(_closure),
     "line_of_offset": _offsets,
+    "name_depth": code(lambda spark, t: t.sql("SELECT cls, brand, 'P' || k AS inner_ FROM p").select(F.col("cls").alias("name"), name_depth(F.lit("SIZE"), F.array("brand", "inner_")).alias("own"), name_depth("cls", F.array("brand")).alias("path"))),
+    "signatures": code(lambda spark, t: t.defs.where("kind = 'Method'").select("id", signature("params").alias("s")).select("id", F.array_join("s.required_positional", ",").alias("required"), F.array_join(F.concat("s.required_keyword", "s.optional_keyword"), ",").alias("keywords"), F.size("s.block").alias("blocks"))),
+    "orphan_names": code(lambda spark, t: reports.orphan_names(t.defs.withColumn("declaration", F.when(~F.col("kind").isin("Method", "SingletonClass"), F.col("declaration"))))),
+    "reference_counts": code(lambda spark, t: reports.reference_counts(t.refs)),
     "page_names": lambda spark, d: read(spark, d, "pages").select("page_id", relative_to(F.regexp_replace("url", "^[a-z]+:/", ""), "/example.com").alias("path"), unqualified("url").alias("last")),
     "code_defines": graph("MATCH (d:Document)-[:DEFINES]->(x:Definition) RETURN d.name AS file, x.kind AS kind, count(x) AS n"),
     "code_declares": graph("MATCH (x:Definition)-[:DECLARES]->(d:Class) RETURN d.name AS name, x.file AS file, x.line AS line"),
@@ -274,6 +278,13 @@ ORACLES = {
     "line_of_offset": """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(ls) AS ln, generate_subscripts(ls, 1) AS i FROM d),
       st AS (SELECT doc_id, coalesce(sum(octet_length(encode(ln)) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t), o AS (SELECT doc_id, k, floor(size * k / 4)::BIGINT AS at FROM d CROSS JOIN range(5) r(k))
       SELECT o.doc_id, o.at AS "offset", count(*) AS line, o.at - max(start) + 1 AS col FROM o JOIN st ON st.doc_id = o.doc_id AND st.start <= o.at GROUP BY o.doc_id, o.k, o.at""",
+    "name_depth": duck("SELECT cls AS name, 1 * (1 + 1 * (1 + 1 * (1 + 0))) AS own, len(string_split(cls, '::')) * (1 + len(string_split(brand, '::')) * (1 + 0)) AS path FROM p"),
+    "signatures": duck("SELECT id, CASE WHEN keys THEN 'who' ELSE '' END AS required, CASE WHEN keys THEN 'loud,times' ELSE '' END AS keywords, 0 AS blocks FROM defs WHERE kind = 'Method'"),
+    "orphan_names": duck(
+        """SELECT f.id, CASE WHEN f.parent IS NULL THEN f.str WHEN a.kind = 'SingletonClass' THEN b.declaration || '::' || a.str || '#' || f.str WHEN f.kind = 'SingletonClass' THEN a.declaration || '::' || f.str ELSE a.declaration || '#' || f.str END AS name
+        FROM defs f LEFT JOIN defs a ON a.id = f.parent LEFT JOIN defs b ON b.id = a.parent WHERE f.kind IN ('Method', 'SingletonClass')"""
+    ),
+    "reference_counts": duck("SELECT path, count(*) AS n, count(declaration) AS resolved FROM refs GROUP BY path"),
     "page_names": "SELECT page_id, CASE WHEN starts_with(p, '/example.com/') THEN substr(p, 14) ELSE p END AS path, list_extract(string_split(list_extract(string_split(url, '::'), -1), '#'), -1) AS last FROM (SELECT page_id, url, regexp_replace(url, '^[a-z]+:/', '') AS p FROM pages)",
     "code_defines": duck("SELECT regexp_replace(uri, '^.*/', '') AS file, kind, count(*) AS n FROM defs GROUP BY 1, 2"),
     "code_declares": duck("SELECT f.declaration AS name, f.uri AS file, f.line FROM defs f JOIN decls d ON d.name = f.declaration WHERE d.kind = 'Class'"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.resolve import index
 from ..operators.search import ancestors_of
-from ..sources.ruby import facts
+from ..sources.facts import facts
 from .catalogue import Code, duck
 
 #: A file for each part, one for the modules, one for aliases.

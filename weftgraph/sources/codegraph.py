@@ -19,7 +19,7 @@ SCHEMAS = {
     "members": "owner string, member string, name string",
     "ancestors": "name string, state string, pos int, tag string, ancestor string",
     "constant_references": "uri string, start int, end int, line int, column int, path string, declaration string",
-    "method_references": "uri string, start int, end int, message string, receiver string",
+    "method_references": "uri string, start int, end int, message string, receiver string, declaration string",
     "diagnostics": "rule string, uri string, start int, end int, line int, message string",
 }
 NAMESPACES = ("Class", "Module", "SingletonClass", "<TODO>")
