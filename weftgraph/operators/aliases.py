@@ -86,7 +86,7 @@ def visibility(declarations: DataFrame, definitions: DataFrame, method_aliases:
     method = F.when(F.col("method_v") == "module_function", F.when(singleton, "public").otherwise("private")).otherwise(F.col("method_v"))
     out = out.withColumn("own", F.when(F.col("kind").isin(*CONSTANTS), F.coalesce("const_v", F.lit("public"))).when(F.col("kind") == "Method", method))
     if method_aliases is not None:
-        first = definitions.where("kind = 'AliasMethod'").join(method_aliases, "id").groupBy("declaration").agg(F.min_by("target", "id").alias("target"))
+        first = definitions.where("kind = 'AliasMethod'").select("id", "declaration").join(method_aliases, "id").groupBy("declaration").agg(F.min_by("target", "id").alias("target"))
         via = first.join(out.select(F.col("name").alias("target"), F.col("own").alias("via")), "target").select(F.col("declaration").alias("name"), "via")
         out = out.join(via, "name", "left")
     else:
