@@ -36,8 +36,8 @@ def test_classifier_separates_held_out(spark, docs):
 def test_features_and_descent_against_brute_force():
     raw = np.frombuffer(b"Ab ab ab!! \nzz", np.uint8)
     row, key = quality_classifier.features(raw, np.array([0, 11, 14]))
-    # Words: Ab, ab, ab!!; shapes Aa, a, a!; pairs of shapes 2, triples 1. Then zz: word and shape.
-    assert (row == 0).sum() == 3 + 3 + 2 + 1 and (row == 1).sum() == 2 and len(set(key.tolist())) >= 8
+    # Words: Ab, ab, ab!!; pairs of words 2; shapes Aa, a, a!; pairs of shapes 2, triples 1. Then zz: word and shape.
+    assert (row == 0).sum() == 3 + 2 + 3 + 2 + 1 and (row == 1).sum() == 2 and len(set(key.tolist())) >= 8
     rng = np.random.default_rng(1)
     rows = [np.unique(np.concatenate((rng.integers(0, 40, 6), [100 + (i % 2)]))).astype(np.int32) for i in range(80)]
     good = np.arange(80) % 2 == 0
