@@ -4,8 +4,9 @@ A document is the set of its word n-grams. All n-grams are put in one global ord
 frequent, where the frequencies come from a count sketch over the whole corpus (the order changes
 only the speed, never the result). Two sets can reach the threshold only if their prefixes in that
 order share an n-gram. Sets with identical prefix and size are collapsed into one group; groups
-that share a prefix n-gram are joined under size and position filters; surviving pairs of groups
-are expanded to their members and each pair of members is verified on its complete sets.
+that share a prefix n-gram are joined under size and position filters; for surviving pairs of groups
+each pair of members is verified on its complete sets, by products of matrices where there are many.
+Pairs of sets are never rows: a task gives the links that it counted and pairs that span the same classes.
 
 Rows enter as (doc_id, 128-bit fingerprint of the set), so equal sets are verified once, and the
 result has a row for each document, so that it grows with the input and not with its pairs.
@@ -30,6 +31,8 @@ N, THRESHOLD = 3, 0.6
 #: prefix n-grams that one joining task takes, about. A pair is counted once in each
 #: task that has some of its n-grams, so these are not smaller than need be.
 CELLS, TASK_GRAMS, TASK_ENTRIES = 1 << 20, 2_000_000, 1_500_000
+#: Pairs of groups that one verifying task takes, about; sets a side and n-grams that are multiplied at once.
+TASK_PAIRS, SIDE, WIDE = 1_000_000, 1024, 1024
 #: Rank from which on an n-gram of a prefix is hot: its cell has 32,768 occurrences or more.
 HOT_RANK = 8 * 15
 
@@ -175,7 +178,7 @@ def candidates(groups: DataFrame, threshold: float, tasks: int, hot: bool) -> Da
 
 
 def candidate_sets(docs: DataFrame, texts: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (doc_id, t, h1, h2, size), sets (sid, h1, h2, size, n: rows, best: least (z, d, t), key of a row), pairs of sets to verify (x, y, xsize, ysize))."""
+    """(rows (doc_id, t, h1, h2, size), sets (sid, gid, h1, h2, size, n: rows, best: least (z, d, t), key of a row), pairs of groups to verify (a, b), a group with itself if it has several sets)."""
     order = docs.sparkSession.sparkContext.broadcast(ranks(sketch(texts.select("text"), n)))
     found = cut(prefixes(texts, order, n, threshold))
     rows = cut(found.drop("prefix"))
@@ -193,32 +196,37 @@ def candidate_sets(docs: DataFrame, texts: DataFrame, n: int, threshold: float)
     sets = cut(sets.join(named.drop("key"), ["p1", "p2", "size"]).drop("p1", "p2"))
     sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()))
     discard(named)
-    left, right = (sets.select(F.col("gid").alias(g), F.col("sid").alias(x), F.col("size").cast("int").alias(f"{x}size")) for g, x in ("ax", "by"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y", "xsize", "ysize")
-    inner = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", "xsize", "ysize")
-    todo = cut(across.unionAll(inner))
+    inner = sets.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    todo = cut(pairs.unionAll(inner))
     discard(pairs)
     return rows, sets, todo
 
 
 def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows and sets as of candidate_sets, pairs of different sets (x, y, jaccard) that reach the threshold)."""
+    """(rows and sets as of candidate_sets, what compared() found of different sets: (x, null, far) and (x, y, null))."""
     texts = prepared(docs)
     rows, sets, todo = candidate_sets(docs, texts, n, threshold)
-    # Each pair goes to the bucket of the least set among its neighbours, so that dense groups meet in one place.
-    ends = todo.select("x", "y").unionAll(todo.select("y", "x"))
-    labels = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.xxhash64(F.least("x", "y")).alias("label"))
-    total = todo.agg(F.sum(F.col("xsize").cast("long") + F.col("ysize")).alias("s")).first()["s"] or 0
+    # Each pair goes to the bucket of the least group among its neighbours, so that dense ones meet in one place.
+    ends = todo.select("a", "b").unionAll(todo.select("b", "a"))
+    labels = ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.xxhash64(F.least("a", "b")).alias("label"))
+    weights = cut(sets.groupBy("gid").agg(F.sum("size").alias("w")))
+    joined = todo.join(labels, "a").join(weights.select(F.col("gid").alias("a"), F.col("w").alias("aw")), "a").join(weights.select(F.col("gid").alias("b"), F.col("w").alias("bw")), "b")
+    placed = cut(joined)
+    total = placed.agg(F.sum(F.col("aw") + F.col("bw")).alias("s")).first()["s"] or 0
+    discard(todo, weights)
+    todo = placed
     buckets = max(1, int(total) // TASK_GRAMS)
-    placed = todo.join(labels, "x").withColumn("bucket", F.pmod("label", F.lit(buckets))).drop("label")
-    sides = placed.select("bucket", "x", F.col("xsize").alias("size")).unionAll(placed.select("bucket", "y", "ysize")).distinct()
-    weights = sides.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / (4 * TASK_GRAMS))).alias("cuts"))
-    placed = placed.join(weights, "bucket")
+    placed = todo.withColumn("bucket", F.pmod("label", F.lit(buckets))).drop("label")
+    sides = placed.select("bucket", "a", F.col("aw").alias("w")).unionAll(placed.select("bucket", "b", "bw")).distinct()
+    by_size = sides.groupBy("bucket").agg(F.ceil(F.sum("w") / (4 * TASK_GRAMS)).alias("cuts"))
+    by_pairs = placed.groupBy("bucket").agg(F.ceil(F.sqrt(F.count("*") / TASK_PAIRS)).alias("cuts"))
+    cuts = by_size.unionAll(by_pairs).groupBy("bucket").agg(F.greatest(F.lit(1), F.max("cuts")).alias("cuts"))
+    placed = placed.join(cuts, "bucket")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
-    placed = cut(placed.select("x", "y", F.struct("bucket", block("x").alias("i"), block("y").alias("j")).alias("cell")))
+    placed = cut(placed.select("a", "b", F.struct("bucket", block("a").alias("i"), block("b").alias("j")).alias("cell")))
     discard(todo)
-    where = placed.select("cell", F.col("x").alias("sid")).unionAll(placed.select("cell", "y")).distinct()
-    where = cut(where.join(sets.select("sid", "h1", "h2", "key"), "sid"))
+    where = placed.select("cell", F.col("a").alias("gid")).unionAll(placed.select("cell", "b")).distinct()
+    where = cut(where.join(sets.select("sid", "gid", "n", "h1", "h2", "key"), "gid"))
     keys = cut(where.select(F.col("key").alias("asked")).distinct())
     asked = texts.join(small(keys), F.col("key") == F.col("asked"), "left_semi").select("text")
 
@@ -232,25 +240,80 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
 
     grams = asked.mapInArrow(again, "h1 long, h2 long, grams binary")
     # A set may come more than once, from rows that are copies; compare() takes any.
-    located = where.select(F.col("cell").alias("spot"), "sid", "h1", "h2").join(grams, ["h1", "h2"]).select("spot", "sid", "grams")
-
-    def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
-        sets = {k: np.frombuffer(g.as_buffer(), np.uint64) for k, g in zip(own["sid"].to_pylist(), own["grams"])}
-        out = []
-        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist()):
-            a, b = sets[x], sets[y]
-            common = overlap(a, b)
-            jaccard = common / (len(a) + len(b) - common)
-            if jaccard >= threshold:
-                out.append((x, y, jaccard))
-        columns = list(zip(*out)) if out else [[]] * 3
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["x", "y", "jaccard"])
-
-    result = cut(placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "x long, y long, jaccard double"))
+    located = where.select(F.col("cell").alias("spot"), "sid", "gid", "n", "h1", "h2").join(grams, ["h1", "h2"]).select("spot", "sid", "gid", "n", "grams")
+    compare = lambda pairs, own: compared(pairs, own, threshold)
+    result = cut(placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "x long, y long, far long"))
     discard(placed, where, keys)
     return rows, sets, result
 
 
+def compared(pairs: pa.Table, own: pa.Table, threshold: float) -> pa.Table:
+    """(x, null, far: rows of other sets that reach the threshold with x) among pairs(a, b) of groups, and
+    (x, y, null) of pairs that reach it and connect all sets that are connected; own has (sid, gid, n, grams) of the sets.
+
+    Less than two rows for each set, however many pairs reach the threshold.
+    """
+    sid, first = np.unique(own["sid"].to_numpy(), return_index=True)
+    gid, many = own["gid"].to_numpy()[first], own["n"].to_numpy()[first]
+    every = [np.frombuffer(g.as_buffer(), np.uint64) for g in own["grams"]]
+    by = np.argsort(gid, kind="stable")
+    names, begin = np.unique(gid[by], return_index=True)
+    members = dict(zip(names.tolist(), np.split(by, begin[1:])))
+    far, xs, ys, root = np.zeros(len(sid), np.int64), [], [], list(range(len(sid)))
+
+    def of(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def connect(x: int, y: int) -> None:
+        p, q = of(x), of(y)
+        if p != q:
+            root[q] = p
+            xs.append(x)
+            ys.append(y)
+
+    a, b = (pairs[c].to_numpy() for c in "ab")
+    for k in range(len(a)):
+        u, v = members[int(a[k])], members[int(b[k])]
+        if len(u) == len(v) == 1:
+            p, q = every[first[u[0]]], every[first[v[0]]]
+            common = overlap(p, q)
+            if common / (len(p) + len(q) - common) >= threshold:
+                far[u] += many[v]
+                far[v] += many[u]
+                connect(int(u[0]), int(v[0]))
+            continue
+        for x, y, same in sides(u, v):
+            p, q = [every[first[i]] for i in x], [every[first[i]] for i in y]
+            common = overlaps(p, q)
+            sizes = np.array([len(g) for g in p])[:, None] + np.array([len(g) for g in q])
+            hits = common / (sizes - common) >= threshold
+            if same:
+                np.fill_diagonal(hits, False)
+            if not hits.any():
+                continue
+            far[x] += hits @ many[y]
+            if not same:
+                far[y] += many[x] @ hits
+            i, j = spanning(hits)
+            for e in zip(x[i].tolist(), y[j].tolist()):
+                connect(*e)
+    some = np.flatnonzero(far)
+    xs, ys = (np.array(v, np.int64) for v in (xs, ys))
+    none = lambda k: pa.nulls(k, pa.int64())
+    linked = pa.Table.from_arrays([pa.array(sid[some]), none(len(some)), pa.array(far[some])], ["x", "y", "far"])
+    return pa.concat_tables([linked, pa.Table.from_arrays([pa.array(sid[xs]), pa.array(sid[ys]), none(len(xs))], ["x", "y", "far"])])
+
+
+def sides(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Parts of two groups' sets, each pair of different sets in one of them, and whether both parts are the same."""
+    itself = a is b
+    for i in range(0, len(a), SIDE):
+        for j in range(i if itself else 0, len(b), SIDE):
+            yield a[i : i + SIDE], b[j : j + SIDE], itself and i == j
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """How many elements two sorted sets share."""
     both = np.concatenate((a, b))
@@ -258,6 +321,60 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each sorted set of a shares with each of b."""
+    if len(a) > len(b):
+        return overlaps(b, a).T
+    places = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(g) for g in s])) for s in (a, b)]
+    both = a[0] if len(a) == 1 else np.intersect1d(places[0][0], places[1][0])
+    out = np.zeros((len(a), len(b)), np.float32)
+    coded = []
+    for elements, row in places:
+        at = np.minimum(np.searchsorted(both, elements), max(0, len(both) - 1))
+        met = np.flatnonzero(both[at] == elements) if len(both) else np.empty(0, np.int64)
+        met = met[np.argsort(at[met], kind="stable")]
+        coded.append((at[met], row[met]))
+    if len(a) == 1:
+        return np.bincount(coded[1][1], minlength=len(b))[None, :]
+    for low in range(0, len(both), WIDE):
+        parts = []
+        for (at, row), s in zip(coded, (a, b)):
+            lo, hi = np.searchsorted(at, (low, low + WIDE))
+            part = np.zeros((len(s), WIDE), np.float32)
+            part[row[lo:hi], at[lo:hi] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def spanning(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of true places that connect the same rows and columns as all of them do, fewer than both together."""
+    rows, columns = np.flatnonzero(hits.any(1)), np.ones(hits.shape[1], bool)
+    if hits.size == 1:
+        return rows, rows
+    out_rows, out_columns = [], []
+    left = np.zeros(hits.shape[0], bool)
+    left[rows] = True
+    for i in rows:
+        if not left[i]:
+            continue
+        left[i], reached = False, np.array([i])
+        while len(reached):
+            near = hits[reached] & columns
+            new = np.flatnonzero(near.any(0))
+            out_rows.append(reached[near[:, new].argmax(0)])
+            out_columns.append(new)
+            columns[new] = False
+            rest = np.flatnonzero(left)
+            near = hits[np.ix_(rest, new)]
+            got = near.any(1)
+            reached = rest[got]
+            out_rows.append(reached)
+            out_columns.append(new[near[got].argmax(1)] if len(new) else new)
+            left[reached] = False
+    return np.concatenate(out_rows), np.concatenate(out_columns)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(x, root) of pairs(x, y): the least of each connected component, by label propagation with pointer jumping."""
     edges = cut(pairs.select("x", "y").unionAll(pairs.select("y", "x")).distinct())
@@ -283,12 +400,11 @@ def classes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     tells the class and which row stands for it. links: other rows whose sets reach the threshold.
     Both are null for a text without words.
     """
-    rows, sets, pairs = verified(docs, n, threshold)
-    many = sets.select(F.col("sid").alias("y"), "n")
-    links = pairs.select("x", "y").unionAll(pairs.select("y", "x")).join(many, "y").groupBy("x").agg(F.sum("n").alias("far"))
-    roots = components(pairs)
+    rows, sets, found = verified(docs, n, threshold)
+    links = found.where("y IS NULL").groupBy("x").agg(F.sum("far").alias("far"))
+    roots = components(found.where("y IS NOT NULL"))
     known = cut(sets.join(links.join(roots, "x").withColumnRenamed("x", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    discard(pairs, sets)
+    discard(found, sets)
     best = known.groupBy("root").agg(F.min("best").alias("of"))
     about = cut(known.join(best, "root").select("h1", "h2", "n", F.col("of").alias("root"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links")))
     discard(known)
