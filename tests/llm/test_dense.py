@@ -7,7 +7,7 @@ import numpy as np
 from weftgraph.llm import ngram_join
 
 from .conftest import words
-from .test_dedup import brute
+from .test_dedup import brute, corpus
 
 
 def near_copies(seed, n, length=60, changes=2):
@@ -49,3 +49,21 @@ def test_overlaps_and_spanning():
             some = np.zeros(hits.shape)
             some[i, j] = 1
             assert hits[i, j].all() and len(i) < sum(hits.shape) and (reach(some) == reach(hits.astype(float))).all()
+
+
+def test_near_copies_meet_as_units(docs, monkeypatch):
+    rows = near_copies(5, 200)
+    counted = []
+    candidates = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *args: counted.append(candidates(*args)) or counted[-1])
+    monkeypatch.setattr(ngram_join, "discard", lambda *tables: None)
+    assert sorted(map(tuple, ngram_join.linked(docs(rows)).collect()), key=str) == brute(rows)
+    assert counted[0].count() < 5 * len(rows)
+
+
+def test_units_of_any_shape(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "DENSE", 2)
+    monkeypatch.setattr(ngram_join, "UNIT_GRAMS", 300)
+    for seed, threshold in ((6, 0.6), (7, 0.35), (8, 0.85)):
+        rows = corpus(seed) + [(1000 + i, t) for i, t in near_copies(seed, 60, 50, 12)]
+        assert sorted(map(tuple, ngram_join.linked(docs(rows), threshold=threshold).collect()), key=str) == brute(rows, threshold)

@@ -3,9 +3,12 @@
 A document is the set of its word n-grams. All n-grams are put in one global order, rare before
 frequent, where the frequencies come from a count sketch over the whole corpus (the order changes
 only the speed, never the result). Two sets can reach the threshold only if their prefixes in that
-order share an n-gram. Sets with identical prefix and size are collapsed into one group; groups
-that share a prefix n-gram are joined under size and position filters; for surviving pairs of groups
-each pair of members is verified on its complete sets, by products of matrices where there are many.
+order share an n-gram. Sets with identical prefix and size are collapsed into one group, and groups
+that are likely near copies into one unit, whose n-grams are those of all its groups: else a class of
+near copies would meet as often as its square, for each n-gram of a prefix. Units that share a prefix
+n-gram are joined under size and position filters, which hold for any of their groups; for surviving
+pairs of units each pair of members is verified on its complete sets, by products of matrices where
+there are many. Which groups make a unit changes only the speed.
 Pairs of sets are never rows: a task gives the links that it counted and pairs that span the same classes.
 
 Rows enter as (doc_id, 128-bit fingerprint of the set), so equal sets are verified once, and the
@@ -31,7 +34,9 @@ N, THRESHOLD = 3, 0.6
 #: prefix n-grams that one joining task takes, about. A pair is counted once in each
 #: task that has some of its n-grams, so these are not smaller than need be.
 CELLS, TASK_GRAMS, TASK_ENTRIES = 1 << 20, 2_000_000, 1_500_000
-#: Pairs of groups that one verifying task takes, about; sets a side and n-grams that are multiplied at once.
+#: Least n-grams of a prefix, by hash, that tell near copies; groups that make a unit, at least; and n-grams of a unit, about, at most.
+LEAST, DENSE, UNIT_GRAMS = 4, 8, 500_000
+#: Pairs of units that one verifying task takes, about; sets a side and n-grams that are multiplied at once.
 TASK_PAIRS, SIDE, WIDE = 1_000_000, 1024, 1024
 #: Rank from which on an n-gram of a prefix is hot: its cell has 32,768 occurrences or more.
 HOT_RANK = 8 * 15
@@ -98,11 +103,15 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
-    """(doc_id, t, key, h1, h2, size, p1, p2, top, prefix) of each row.
+    """(doc_id, t, key, h1, h2, size, p1, p2, top, prefix, least) of each row.
 
     h1, h2 and p1, p2 are the fingerprints of the set and of its prefix in the global order, top is the
-    prefix's greatest rank. All are 0 for a text without words.
+    prefix's greatest rank. All are 0 for a text without words. least: the LEAST n-grams of the prefix by hash.
     """
+    none, bits = np.empty(0, np.uint64), np.uint64((1 << 56) - 1)
+
+    def as_lists(values: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))), pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
@@ -111,7 +120,7 @@ def prefixes(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
                 sizes = np.array([len(s) for s in sets])
                 some = np.flatnonzero(sizes)
                 marks = np.zeros((6, len(sets)), np.int64)
-                found = [np.empty(0, np.uint64)] * len(sets)
+                found, least = [none] * len(sets), [none] * len(sets)
                 marks[2] = sizes
                 if len(some):
                     every = np.concatenate(sets)
@@ -122,81 +131,114 @@ def prefixes(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
                         token.sort()
                         found[i] = token[: sizes[i] - needed(sizes[i], threshold) + 1]
                         marks[5, i] = int(found[i][-1]) >> 56
+                        if len(found[i]) >= LEAST:
+                            least[i] = np.partition(found[i] & bits, LEAST - 1)[:LEAST]
                     kept = np.concatenate(([0], np.cumsum([len(found[i]) for i in some])))
                     marks[0, some], marks[1, some] = fingerprints(every, np.append(begin[some], len(every)))
                     marks[3, some], marks[4, some] = fingerprints(np.concatenate(found), kept)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
                 own = batch.slice(lo, len(sets))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), *(pa.array(c, pa.int64()) for c in marks), lists], names)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), *(pa.array(c, pa.int64()) for c in marks), as_lists(found), as_lists(least)], names)
 
-    names = ["doc_id", "t", "key", "h1", "h2", "size", "p1", "p2", "top", "prefix"]
-    fields = [T.StructField(k, T.LongType()) for k in names[1:-1]]
-    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *fields, T.StructField("prefix", T.ArrayType(T.LongType()))])
+    names = ["doc_id", "t", "key", "h1", "h2", "size", "p1", "p2", "top", "prefix", "least"]
+    fields = [T.StructField(k, T.LongType()) for k in names[1:-2]] + [T.StructField(k, T.ArrayType(T.LongType())) for k in names[-2:]]
+    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *fields])
     return texts.select("doc_id", "t", "key", "text").mapInArrow(run, schema)
 
 
-def candidates(groups: DataFrame, threshold: float, tasks: int, hot: bool) -> DataFrame:
-    """Pairs (a, b) of groups(gid, size, prefix) that can reach the threshold, by what their prefixes share.
+def candidates(every: DataFrame, threshold: float, tasks: int, hot: bool) -> DataFrame:
+    """Pairs (a, b) of units that can have sets that reach the threshold, by what their prefixes share.
+
+    every: (uid, lo, hi, pos, token), the sizes of the unit's sets from lo to hi, its n-grams and their
+    first place in a prefix. What is asked of a pair is the least that any two of its sets need.
 
     Common n-grams come in the same order in both sets. So those beyond the prefixes are at most
     as many as the larger of the two rests, and the ones in the prefixes must make up for what is
     missing then. Before that, a pair needs a common n-gram so early in both that enough can follow
-    it, and sizes that are close enough. Both sides of the join are the same exchange.
+    it, and sizes that are close enough. With sets s <= l, what the prefixes share is at least
+    share * (s + l) - threshold * l, which is least for the least s and the greatest l. Both sides of the join are the same exchange.
 
-    hot: some n-grams of prefixes occur so often that one task shouldn't have all their groups.
-    Their groups are cut into k parts each way, and each pair of parts meets in a task of its own.
+    hot: some n-grams of prefixes occur so often that one task shouldn't have all their units.
+    Their units are cut into k parts each way, and each pair of parts meets in a task of its own.
     """
     share = threshold / (1 + threshold)
 
     def joined(entries: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-        a = entries.select(*on, *[F.col(c).alias(f"a_{c}") for c in ("gid", "size", "pos")])
-        b = other.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("gid", "size", "pos")])
-        first = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_gid") < F.col("b_gid")))
-        large = F.col("a_size") >= F.ceil(F.lit(threshold) * F.col("b_size") - 1e-9)
+        a = entries.select(*on, *[F.col(c).alias(f"a_{c}") for c in ("uid", "lo", "hi", "pos")])
+        b = other.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("uid", "lo", "hi", "pos")])
+        first = (F.col("a_lo") < F.col("b_lo")) | ((F.col("a_lo") == F.col("b_lo")) & (F.col("a_uid") < F.col("b_uid")))
+        # The second half always holds; it asks the same of both sides, else they wouldn't be one exchange.
+        large = (F.col("a_hi") >= F.ceil(F.lit(threshold) * F.col("b_lo") - 1e-9)) & (F.col("b_hi") >= F.ceil(F.lit(threshold) * F.col("a_lo") - 1e-9))
         same = [a[c] == b[c] for c in on]
-        return a.join(b, reduce(Column.__and__, same) & first & large).select("a_gid", "b_gid", "a_size", "b_size", "a_pos", "b_pos")
+        return a.join(b, reduce(Column.__and__, same) & first & large).select(*[f"{x}_{c}" for x in "ab" for c in ("uid", "lo", "hi", "pos")])
 
-    every = groups.select("gid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
     rank = F.shiftrightunsigned("token", 56).cast("int")
     entries = (every.where(rank < HOT_RANK) if hot else every).repartition(tasks, "token")
     met = joined(entries, entries, ["token"])
     if hot:
-        common = groups.where(F.shiftrightunsigned(F.element_at("prefix", -1), 56) >= HOT_RANK)
-        common = common.select("gid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")).where(rank >= HOT_RANK)
+        common = every.where(rank >= HOT_RANK)
         k = F.pow(F.lit(2), F.floor((rank - HOT_RANK) / 8) + 1).cast("int")
-        own, all_ = F.pmod(F.xxhash64("gid"), k).cast("int"), F.sequence(F.lit(0), k - 1)
+        own, all_ = F.pmod(F.xxhash64("uid"), k).cast("int"), F.sequence(F.lit(0), k - 1)
         left = common.withColumn("i", own).withColumn("j", F.explode(all_)).repartition(tasks, "token", "i", "j")
         right = common.withColumn("j", own).withColumn("i", F.explode(all_)).repartition(tasks, "token", "i", "j")
         met = met.unionAll(joined(left, right, ["token", "i", "j"]))
-    enough = F.ceil(F.lit(share) * (F.col("a_size") + F.col("b_size")) - 1e-9)
-    room = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(f"{x}_size") - 1e-9) - 1 for x in "ab"])
+    enough = F.ceil(F.lit(share) * (F.col("a_lo") + F.col("b_lo")) - 1e-9)
+    room = F.least(F.col("a_hi") - F.col("a_pos"), F.col("b_hi") - F.col("b_pos"))
+    rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(f"{x}_lo") - 1e-9) - 1 for x in "ab"])
+    single = (F.col("a_lo") == F.col("a_hi")) & (F.col("b_lo") == F.col("b_hi"))
+    bound = F.floor(F.least(*[F.lit(share) * (F.col(s) + F.col(l)) - F.lit(threshold) * F.col(l) for s, l in (("a_lo", "b_hi"), ("b_lo", "a_hi"))]) - 1e-9)
     # One number for each pair and task: how many are common, less how many must be, as its sizes say.
-    met = met.select(F.col("a_gid").alias("a"), F.col("b_gid").alias("b"), (enough - rest).cast("int").alias("need"), (room >= enough).alias("early"))
+    met = met.select(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"), F.when(single, enough - rest).otherwise(bound).cast("int").alias("need"), (room >= enough).alias("early"))
     counted = met.groupBy("a", "b").agg(F.count("*").cast("int").alias("common"), F.max("need").alias("need"), F.max("early").alias("early"))
     return counted.where("early AND common >= need").select("a", "b")
 
 
+def units(groups: DataFrame) -> DataFrame:
+    """(gid, uid, lo, hi) of those of groups(gid, size, least) that make units with others, lo and hi being the unit's least and greatest size.
+
+    A near copy has most of the least n-grams of its model, which few other texts of that size have. Each
+    group takes the commonest of its own, if another of them is common as well.
+    """
+    band = F.floor(4 * F.log2("size")).alias("band")
+    each = groups.where(F.size("least") == LEAST).select("gid", "size", band, F.explode("least").alias("gram"))
+    common = each.groupBy("gram", "band").agg(F.count("*").alias("c")).where(F.col("c") >= DENSE)
+    chosen = each.join(common, ["gram", "band"]).groupBy("gid", "size", "band").agg(F.count("*").alias("k"), F.max(F.struct("c", "gram")).alias("most"))
+    chosen = cut(chosen.where("k > 1").select("gid", "size", "band", F.col("most.gram").alias("gram")))
+    parts = chosen.groupBy("gram", "band").agg(F.count("*").alias("m"), F.ceil(F.sum("size") / UNIT_GRAMS).alias("parts")).where(F.col("m") >= DENSE)
+    placed = chosen.join(parts, ["gram", "band"]).withColumn("part", F.pmod(F.xxhash64("gid"), "parts"))
+    named = placed.groupBy("gram", "band", "part").agg(F.min("gid").alias("uid"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    out = cut(placed.join(named, ["gram", "band", "part"]).select("gid", "uid", "lo", "hi"))
+    discard(chosen)
+    return out
+
+
 def candidate_sets(docs: DataFrame, texts: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (doc_id, t, h1, h2, size), sets (sid, gid, h1, h2, size, n: rows, best: least (z, d, t), key of a row), pairs of groups to verify (a, b), a group with itself if it has several sets)."""
+    """(rows (doc_id, t, h1, h2, size), sets (sid, uid, h1, h2, size, n: rows, best: least (z, d, t), key of a row), pairs of units to verify (a, b), a unit with itself if it has several sets)."""
     order = docs.sparkSession.sparkContext.broadcast(ranks(sketch(texts.select("text"), n)))
     found = cut(prefixes(texts, order, n, threshold))
     rows = cut(found.drop("prefix"))
     worded = rows.where("size > 0")
     # One row stands for each group. Groups and sets get small numbers, so that pairs of them are small as well.
     named = cut(cut(worded.groupBy("p1", "p2", "size").agg(F.min("key").alias("key"))).withColumn("gid", F.monotonically_increasing_id()))
-    groups = cut(found.join(named, ["key", "p1", "p2", "size"]).select("gid", "size", "prefix"))
+    light = cut(rows.join(named, ["key", "p1", "p2", "size"]).select("gid", "size", "least"))
+    dense = units(light)
+    own = named.join(dense, "gid", "left").withColumn("alone", F.col("uid").isNull())
+    own = cut(own.select("key", "p1", "p2", "size", "alone", F.coalesce("uid", "gid").alias("uid"), *[F.coalesce(c, "size").cast("int").alias(c) for c in ("lo", "hi")]))
+    discard(named, light, dense)
+    groups = cut(found.join(own, ["key", "p1", "p2", "size"]).select("uid", "lo", "hi", "alone", "prefix"))
     discard(found)
+    entries = groups.select("uid", "lo", "hi", "alone", F.posexplode("prefix").alias("pos", "token"))
+    merged = cut(entries.where("NOT alone").groupBy("uid", "lo", "hi", "token").agg(F.min("pos").alias("pos")))
+    entries = entries.where("alone").drop("alone").unionByName(merged)
     known = worded.agg(F.sum(F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).alias("n"), F.max("top").alias("top")).first()
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(known["n"] or 0) // TASK_ENTRIES)
-    pairs = cut(candidates(groups, threshold, tasks, (known["top"] or 0) >= HOT_RANK))
-    discard(groups)
+    pairs = cut(candidates(entries, threshold, tasks, (known["top"] or 0) >= HOT_RANK))
+    discard(groups, merged)
     best = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
     sets = worded.groupBy("p1", "p2", "size", "h1", "h2").agg(F.count("*").alias("n"), F.min(best).alias("best"), F.min("key").alias("key"))
-    sets = cut(sets.join(named.drop("key"), ["p1", "p2", "size"]).drop("p1", "p2"))
+    sets = cut(sets.join(own.select("p1", "p2", "size", "uid"), ["p1", "p2", "size"]).drop("p1", "p2"))
     sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()))
-    discard(named)
-    inner = sets.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    discard(own)
+    inner = sets.groupBy("uid").count().where("count > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b"))
     todo = cut(pairs.unionAll(inner))
     discard(pairs)
     return rows, sets, todo
@@ -206,11 +248,11 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
     """(rows and sets as of candidate_sets, what compared() found of different sets: (x, null, far) and (x, y, null))."""
     texts = prepared(docs)
     rows, sets, todo = candidate_sets(docs, texts, n, threshold)
-    # Each pair goes to the bucket of the least group among its neighbours, so that dense ones meet in one place.
+    # Each pair goes to the bucket of the least unit among its neighbours, so that dense ones meet in one place.
     ends = todo.select("a", "b").unionAll(todo.select("b", "a"))
     labels = ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.xxhash64(F.least("a", "b")).alias("label"))
-    weights = cut(sets.groupBy("gid").agg(F.sum("size").alias("w")))
-    joined = todo.join(labels, "a").join(weights.select(F.col("gid").alias("a"), F.col("w").alias("aw")), "a").join(weights.select(F.col("gid").alias("b"), F.col("w").alias("bw")), "b")
+    weights = cut(sets.groupBy("uid").agg(F.sum("size").alias("w")))
+    joined = todo.join(labels, "a").join(weights.select(F.col("uid").alias("a"), F.col("w").alias("aw")), "a").join(weights.select(F.col("uid").alias("b"), F.col("w").alias("bw")), "b")
     placed = cut(joined)
     total = placed.agg(F.sum(F.col("aw") + F.col("bw")).alias("s")).first()["s"] or 0
     discard(todo, weights)
@@ -225,8 +267,8 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
     block = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
     placed = cut(placed.select("a", "b", F.struct("bucket", block("a").alias("i"), block("b").alias("j")).alias("cell")))
     discard(todo)
-    where = placed.select("cell", F.col("a").alias("gid")).unionAll(placed.select("cell", "b")).distinct()
-    where = cut(where.join(sets.select("sid", "gid", "n", "h1", "h2", "key"), "gid"))
+    where = placed.select("cell", F.col("a").alias("uid")).unionAll(placed.select("cell", "b")).distinct()
+    where = cut(where.join(sets.select("sid", "uid", "n", "h1", "h2", "key"), "uid"))
     keys = cut(where.select(F.col("key").alias("asked")).distinct())
     asked = texts.join(small(keys), F.col("key") == F.col("asked"), "left_semi").select("text")
 
@@ -240,7 +282,7 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
 
     grams = asked.mapInArrow(again, "h1 long, h2 long, grams binary")
     # A set may come more than once, from rows that are copies; compare() takes any.
-    located = where.select(F.col("cell").alias("spot"), "sid", "gid", "n", "h1", "h2").join(grams, ["h1", "h2"]).select("spot", "sid", "gid", "n", "grams")
+    located = where.select(F.col("cell").alias("spot"), "sid", "uid", "n", "h1", "h2").join(grams, ["h1", "h2"]).select("spot", "sid", "uid", "n", "grams")
     compare = lambda pairs, own: compared(pairs, own, threshold)
     result = cut(placed.groupBy("cell").cogroup(located.groupBy("spot")).applyInArrow(compare, "x long, y long, far long"))
     discard(placed, where, keys)
@@ -248,16 +290,16 @@ def verified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple
 
 
 def compared(pairs: pa.Table, own: pa.Table, threshold: float) -> pa.Table:
-    """(x, null, far: rows of other sets that reach the threshold with x) among pairs(a, b) of groups, and
-    (x, y, null) of pairs that reach it and connect all sets that are connected; own has (sid, gid, n, grams) of the sets.
+    """(x, null, far: rows of other sets that reach the threshold with x) among pairs(a, b) of units, and
+    (x, y, null) of pairs that reach it and connect all sets that are connected; own has (sid, uid, n, grams) of the sets.
 
     Less than two rows for each set, however many pairs reach the threshold.
     """
     sid, first = np.unique(own["sid"].to_numpy(), return_index=True)
-    gid, many = own["gid"].to_numpy()[first], own["n"].to_numpy()[first]
+    uid, many = own["uid"].to_numpy()[first], own["n"].to_numpy()[first]
     every = [np.frombuffer(g.as_buffer(), np.uint64) for g in own["grams"]]
-    by = np.argsort(gid, kind="stable")
-    names, begin = np.unique(gid[by], return_index=True)
+    by = np.argsort(uid, kind="stable")
+    names, begin = np.unique(uid[by], return_index=True)
     members = dict(zip(names.tolist(), np.split(by, begin[1:])))
     far, xs, ys, root = np.zeros(len(sid), np.int64), [], [], list(range(len(sid)))
 
@@ -307,7 +349,7 @@ def compared(pairs: pa.Table, own: pa.Table, threshold: float) -> pa.Table:
 
 
 def sides(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Parts of two groups' sets, each pair of different sets in one of them, and whether both parts are the same."""
+    """Parts of two units' sets, each pair of different sets in one of them, and whether both parts are the same."""
     itself = a is b
     for i in range(0, len(a), SIDE):
         for j in range(i if itself else 0, len(b), SIDE):
