@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -16,7 +16,8 @@ class NodeTable:
 
     source: the table, or what makes it once a query asks for it. key: the column that identifies a
     node in the table. labels: each label's condition on the table's columns, None for all rows.
-    kind: the label that a node displays. props: property name to column name.
+    kind: the label that a node displays. props: property name to column name. joined: for a property
+    that isn't in the table, what adds its column; only queries that mention it pay for it.
     """
 
     name: str
@@ -25,27 +26,41 @@ class NodeTable:
     labels: dict[str, Callable[[], Column] | None]
     props: dict[str, str]
     kind: str | None = None
+    joined: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     @cached_property
-    def df(self) -> DataFrame:
+    def base(self) -> DataFrame:
         return self.source if isinstance(self.source, DataFrame) else self.source()
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.having(self.props)
+
+    def having(self, props: Iterable[str]) -> DataFrame:
+        """The table with at least the columns of some properties."""
+        out = self.base
+        for p, join in self.joined.items():
+            if p in props:
+                out = join(out)
+        return out
+
     def has_label(self, labels: tuple[str, ...]) -> bool:
         return not labels or any(x in self.labels for x in labels)
 
-    def with_label(self, labels: tuple[str, ...]) -> DataFrame | None:
-        """The nodes with one of the labels (all for none given), None if the table can have none of them."""
+    def with_label(self, labels: tuple[str, ...], props: Iterable[str] | None = None) -> DataFrame | None:
+        """The nodes with one of the labels (all for none given), None if the table can have none of them; with all properties, or at least those given."""
+        df = self.df if props is None else self.having(props)
         if not labels:
-            return self.df
+            return df
         own = [self.labels[x] for x in dict.fromkeys(labels) if x in self.labels]
         if not own:
             return None
         if any(c is None for c in own):
-            return self.df
+            return df
         test = own[0]()
         for c in own[1:]:
             test = test | c()
-        return self.df.where(test)
+        return df.where(test)
 
 
 @dataclass(frozen=True)
@@ -90,7 +105,7 @@ class PropertyGraph:
         """(category, key, label) of the nodes with one of the labels."""
         found = None
         for t in self.nodes:
-            df = t.with_label(labels)
+            df = t.with_label(labels, ())
             if df is not None:
                 kind = F.col(t.kind) if t.kind else F.lit(t.name)
                 part = df.select(F.lit(t.name).alias("category"), F.col(t.key).cast("string").alias("key"), kind.alias("label"))

@@ -9,7 +9,7 @@ Catalyst moves them to the scans.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -228,7 +228,7 @@ class Compiler:
         for t in self.graph.nodes:
             if tables is not None and t.name not in tables or not t.has_label(node.labels):
                 continue
-            own = self.node(node.var, t, t.with_label(node.labels))
+            own = self.node(node.var, t, t.with_label(node.labels, self.wanted.get(node.var, set())))
             for k, e in node.props:
                 own = own.where(field(node.var, k) == column(e, set()))
             for e in self.about.get(node.var, []):
@@ -336,15 +336,16 @@ class Compiler:
 
     def reachable(self, hops, low: int, start: str, sources: DataFrame, targets: set[str], nothing: str) -> list[tuple[str, DataFrame]]:
         """As repeated(), but each pair of ends once: directed ways that use an edge twice reach nothing that others don't."""
+        edges = cache(lambda k: cut(hops[k][0].df.select("src", "dst")))  # made once, not in each round
         frontier = {start: cut(sources.select("@from", F.col("@from").alias("@to")))}
         seen: dict[str, DataFrame] = {start: frontier[start]} if low == 0 else {}
         while frontier:
             later: dict[str, list[DataFrame]] = {}
             for name, df in frontier.items():
-                for e, back in hops:
+                for k, (e, back) in enumerate(hops):
                     if (e.dst if back else e.src) == name:
                         a, b = ("dst", "src") if back else ("src", "dst")
-                        step = e.df.select(F.col(a).alias("~from"), F.col(b).alias("~to"))
+                        step = edges(k).select(F.col(a).alias("~from"), F.col(b).alias("~to"))
                         later.setdefault(e.src if back else e.dst, []).append(df.join(step, F.col("@to") == F.col("~from")).select("@from", F.col("~to").alias("@to")))
             frontier = {}
             for name, dfs in later.items():

@@ -38,9 +38,15 @@ class CodeGraph:
     diagnostics: DataFrame
     version: int = 0
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.documents.sparkSession
+
     @property
     def descendants(self) -> DataFrame:
-        return self.ancestors.where("tag = 'complete'").select(F.col("ancestor").alias("name"), F.col("name").alias("descendant")).distinct()
+        from ..operators.search import descendants
+
+        return descendants(self.ancestors)
 
     def changed(self, **tables: DataFrame) -> CodeGraph:
         return replace(self, version=self.version + 1, **tables)
@@ -53,37 +59,42 @@ class CodeGraph:
         """The graph that Cypher queries run on: Document, Definition and Declaration nodes, eleven relationship types. Each table is made when a query needs it."""
         from ..operators.aliases import resolve_aliases, visibility
 
-        d = self.definitions
-        linked = d.where("declaration IS NOT NULL")
-        kinds = self.declarations.select("name", "kind")
-        spaces = kinds.where(F.col("kind").isin(*NAMESPACES)).select(F.col("name").alias("dst"))
+        linked = lambda: self.definitions.where("declaration IS NOT NULL")
+
+        def spaces() -> DataFrame:
+            return self.declarations.where(F.col("kind").isin(*NAMESPACES)).select(F.col("name").alias("dst"))
 
         def documents() -> DataFrame:
             return self.documents.select("uri", uri_path("uri").alias("path"), uri_name("uri").alias("name"))
 
         def declarations() -> DataFrame:
-            counts = linked.groupBy(F.col("declaration").alias("name")).agg(F.count("*").alias("definition_count"))
-            own = self.declarations.select("name", "kind", unqualified("name").alias("unqualified_name")).join(counts, "name", "left").join(visibility(self.declarations, d), "name", "left")
-            return own.withColumn("definition_count", F.coalesce("definition_count", F.lit(0)))
+            return self.declarations.select("name", "kind", unqualified("name").alias("unqualified_name"))
+
+        def counted(df: DataFrame) -> DataFrame:
+            counts = linked().groupBy(F.col("declaration").alias("name")).agg(F.count("*").alias("definition_count"))
+            return df.join(counts, "name", "left").withColumn("definition_count", F.coalesce("definition_count", F.lit(0)))
+
+        def seen(df: DataFrame) -> DataFrame:
+            return df.join(visibility(self.declarations, self.definitions), "name", "left")
 
         def definitions() -> DataFrame:
-            return d.select("id", "kind", F.coalesce("declaration", F.lit("")).alias("name"), F.col("uri").alias("file"), "line")
+            return self.definitions.select("id", "kind", F.coalesce("declaration", F.lit("")).alias("name"), F.col("uri").alias("file"), "line")
 
         @cache
         def followed() -> DataFrame | None:
-            if not d.where("kind = 'ConstantAlias'").limit(1).count():
+            if not self.definitions.where("kind = 'ConstantAlias'").limit(1).count():
                 return None
-            return cut(resolve_aliases(d, self.declarations).where("resolved IS NOT NULL").select(F.col("name").alias("dst"), "resolved"))
+            return cut(resolve_aliases(self.definitions, self.declarations).where("resolved IS NOT NULL").select(F.col("name").alias("dst"), "resolved"))
 
         def to_namespace(df: DataFrame) -> DataFrame:
             """(src, dst) with aliases followed to a namespace."""
             real = followed()
             if real is not None:
                 df = df.join(real, "dst", "left").select("src", F.coalesce("resolved", "dst").alias("dst"))
-            return df.join(spaces, "dst", "left_semi").distinct().select("src", "dst")
+            return df.join(spaces(), "dst", "left_semi").distinct().select("src", "dst")
 
         def mixed(kind: str) -> DataFrame:
-            each = linked.select(F.col("declaration").alias("src"), F.explode("mixins").alias("x"))
+            each = linked().select(F.col("declaration").alias("src"), F.explode("mixins").alias("x"))
             return to_namespace(each.where(F.col("x.kind") == kind).select("src", F.col("x.target").alias("dst")))
 
         def pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -94,19 +105,19 @@ class CodeGraph:
         nodes = [
             NodeTable("Document", documents, "uri", {"Document": None}, {"uri": "uri", "path": "path", "name": "name"}),
             NodeTable("Definition", definitions, "id", {"Definition": None}, {"name": "name", "file": "file", "line": "line"}, "kind"),
-            NodeTable("Declaration", declarations, "name", labels, {p: p for p in ("name", "unqualified_name", "visibility", "definition_count")}, "kind"),
+            NodeTable("Declaration", declarations, "name", labels, {p: p for p in ("name", "unqualified_name", "visibility", "definition_count")}, "kind", {"definition_count": counted, "visibility": seen}),
         ]
-        chain = self.ancestors.where("tag = 'complete'")
+        chain = lambda: self.ancestors.where("tag = 'complete' AND name <> ancestor")
         among = lambda kind, source: EdgeTable(kind, "Declaration", "Declaration", source)
         edges = [
-            EdgeTable("DEFINES", "Document", "Definition", lambda: pairs(d, "uri", "id")),
-            EdgeTable("DECLARES", "Definition", "Declaration", lambda: pairs(linked, "id", "declaration")),
-            EdgeTable("CONTAINS", "Definition", "Definition", lambda: pairs(d.where("parent IS NOT NULL"), "parent", "id")),
-            among("HAS_PARENT", lambda: to_namespace(pairs(linked.where("superclass IS NOT NULL"), "declaration", "superclass"))),
+            EdgeTable("DEFINES", "Document", "Definition", lambda: pairs(self.definitions, "uri", "id")),
+            EdgeTable("DECLARES", "Definition", "Declaration", lambda: pairs(linked(), "id", "declaration")),
+            EdgeTable("CONTAINS", "Definition", "Definition", lambda: pairs(self.definitions.where("parent IS NOT NULL"), "parent", "id")),
+            among("HAS_PARENT", lambda: to_namespace(pairs(linked().where("superclass IS NOT NULL"), "declaration", "superclass"))),
             *(among(t, lambda k=k: mixed(k)) for t, k in (("INCLUDES", "include"), ("PREPENDS", "prepend"), ("EXTENDS", "extend"))),
             among("OWNS", lambda: pairs(self.members, "owner", "name")),
-            among("HAS_ANCESTOR", lambda: pairs(chain.where("name <> ancestor"), "name", "ancestor")),
+            among("HAS_ANCESTOR", lambda: pairs(chain(), "name", "ancestor")),
             among("HAS_DESCENDANT", lambda: pairs(self.descendants, "name", "descendant")),
             EdgeTable("REFERENCES", "Document", "Declaration", lambda: pairs(self.constant_references.where("declaration IS NOT NULL"), "uri", "declaration").distinct()),
         ]
-        return PropertyGraph(nodes, edges, self.version, session=d.sparkSession)
+        return PropertyGraph(nodes, edges, self.version, session=self.spark)
