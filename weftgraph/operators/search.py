@@ -66,8 +66,11 @@ def has_ancestor(ancestors: DataFrame, names: list[str]) -> DataFrame:
 
 
 def descendants(ancestors: DataFrame) -> DataFrame:
-    """(name, descendant): the inverse of the chains, with each declaration its own descendant."""
-    return ancestors.where("tag = 'complete'").select(F.col("ancestor").alias("name"), F.col("name").alias("descendant")).distinct()
+    """(name, descendant): the inverse of the chains, with each declaration its own descendant.
+
+    Pairs meet before they are made distinct: hardly any repeats, so a task would only hold all that it reads to find none.
+    """
+    return ancestors.where("tag = 'complete'").select(F.col("ancestor").alias("name"), F.col("name").alias("descendant")).repartition("name", "descendant").distinct()
 
 
 def require_paths(documents: DataFrame, load_paths: DataFrame) -> DataFrame:
