@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut, empty
+from ..functions.shared import cut, empty, small
 from ..sources.codegraph import CodeGraph
 from ..sources.facts import facts as read_facts
 from .resolve import resolve
@@ -45,9 +45,10 @@ def invalidated(graph: CodeGraph, uris: DataFrame) -> DataFrame:
     frontier = seen
     down = graph.ancestors.where("tag = 'complete' AND name <> ancestor").select(F.col("ancestor").alias("name"), F.col("name").alias("next"))
     owned = graph.declarations.where("owner <> name").select(F.col("owner").alias("name"), F.col("name").alias("next"))
-    edges = cut(down.unionAll(owned).distinct())
+    # Edges are neither written nor made distinct: there are many times more of them than names, and one that repeats does no harm.
+    edges = down.unionAll(owned)
     while not empty(frontier):
-        frontier = cut(edges.join(frontier, "name").select(F.col("next").alias("name")).distinct().join(seen, "name", "left_anti"))
+        frontier = cut(edges.join(small(frontier), "name").select(F.col("next").alias("name")).distinct().join(seen, "name", "left_anti"))
         seen = seen.unionAll(frontier)
     refs = graph.constant_references.join(seen.select(F.col("name").alias("declaration")), "declaration", "left_semi").select(F.lit("references").alias("item"), F.col("uri").alias("name")).distinct()
     return seen.select(F.lit("declaration").alias("item"), "name").unionAll(refs)
