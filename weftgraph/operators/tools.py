@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import comment_text, uri_path
+from ..functions.shared import cut, small
 from .search import declaration_search, page
 
 
@@ -21,6 +22,11 @@ def locations(definitions: DataFrame) -> DataFrame:
     return definitions.where("declaration IS NOT NULL").groupBy(F.col("declaration").alias("name")).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["at"]).alias("locations"))
 
 
+def _of(definitions: DataFrame, names: DataFrame) -> DataFrame:
+    """The definitions of a page of names(name), so that no others are grouped."""
+    return definitions.join(small(names).withColumnRenamed("name", "declaration"), "declaration", "left_semi")
+
+
 def search_declarations(declarations: DataFrame, definitions: DataFrame, query: str, kind: str | None = None, match_mode: str = "fuzzy", limit: int = 50, offset: int = 0) -> DataFrame:
     """(name, kind, locations, total)."""
     if match_mode not in ("fuzzy", "exact"):
@@ -28,7 +34,8 @@ def search_declarations(declarations: DataFrame, definitions: DataFrame, query:
     found = declaration_search(declarations, [query], match_mode).select("name", "kind")
     if kind:
         found = found.where(F.lower("kind") == kind.lower())
-    return page(found, offset, limit, 100).join(locations(definitions), "name", "left").select("name", "kind", "locations", "total").orderBy("name")
+    shown = cut(page(found, offset, limit, 100))
+    return shown.join(locations(_of(definitions, shown.select("name"))), "name", "left").select("name", "kind", "locations", "total").orderBy("name")
 
 
 def get_declaration(name: str, declarations: DataFrame, definitions: DataFrame, ancestors: DataFrame, members: DataFrame) -> DataFrame:
@@ -39,7 +46,8 @@ def get_declaration(name: str, declarations: DataFrame, definitions: DataFrame,
     defs = definitions.where(F.col("declaration") == name).agg(F.array_sort(F.collect_list(F.struct("ord", uri_path("uri").alias("path"), "line", F.transform("comments", comment_text).alias("comments")))).alias("definitions"))
     chain = ancestors.where((F.col("name") == name) & (F.col("tag") == "complete")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ancestor"))), lambda x: x["ancestor"]).alias("ancestors"))
     held = members.where(F.col("owner") == name).select(F.col("name").alias("m")).join(declarations.select(F.col("name").alias("m"), F.col("kind").alias("k")), "m")
-    held = held.join(locations(definitions).withColumnRenamed("name", "m"), "m", "left")
+    held = cut(held)
+    held = held.join(locations(_of(definitions, held.select(F.col("m").alias("name")))).withColumnRenamed("name", "m"), "m", "left")
     listed = held.agg(F.array_sort(F.collect_list(F.struct(F.col("m").alias("name"), F.col("k").alias("kind"), F.try_element_at("locations", F.lit(1)).alias("location")))).alias("members"))
     return own.select("name", "kind").crossJoin(defs).crossJoin(chain).crossJoin(listed)
 
