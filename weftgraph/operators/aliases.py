@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut, empty
+from ..functions.shared import cut, empty, small
 
 
 def alias_targets(definitions: DataFrame) -> DataFrame:
@@ -17,15 +17,15 @@ def alias_targets(definitions: DataFrame) -> DataFrame:
 
 def resolve_aliases(definitions: DataFrame, declarations: DataFrame) -> DataFrame:
     """(name, resolved) for each constant alias: its first target, followed to what is no alias; null for a cycle or an unresolved target."""
+    kinds = declarations.select(F.col("name").alias("next"), (F.col("kind") == "ConstantAlias").alias("is_alias"))
     first = alias_targets(definitions).where("ord = 0").select(F.col("name").alias("at"), F.col("target").alias("next"))
-    first = cut(first)
+    # What the targets are is looked up once: the rounds join aliases only.
+    first = cut(first.join(kinds, "next", "left").select("at", "next", "is_alias"))
     aliases = definitions.where("kind = 'ConstantAlias' AND declaration IS NOT NULL").select(F.col("declaration").alias("name")).distinct()
-    kinds = declarations.select(F.col("name").alias("at"), (F.col("kind") == "ConstantAlias").alias("is_alias"))
     work = cut(aliases.select("name", F.col("name").alias("at"), F.array("name").alias("seen")))
     done = None
     while not empty(work):
-        step = work.join(first, "at", "left").select("name", F.col("next").alias("at"), "seen")
-        step = step.join(kinds, "at", "left")
+        step = work.join(first, "at", "left").select("name", F.col("next").alias("at"), "seen", "is_alias")
         over = F.col("at").isNull() | F.array_contains("seen", F.col("at")) | ~F.coalesce("is_alias", F.lit(False))
         good = F.when(F.col("at").isNotNull() & ~F.array_contains("seen", F.col("at")) & F.col("is_alias").isNotNull(), F.col("at"))
         step = cut(step.withColumn("over", F.coalesce(over, F.lit(True))))
@@ -95,6 +95,12 @@ def visibility(declarations: DataFrame, definitions: DataFrame, method_aliases:
     return out.select("name", shown.alias("visibility"))
 
 
+def visibility_of(names: DataFrame, declarations: DataFrame, definitions: DataFrame) -> DataFrame:
+    """visibility() of names(name), a cut table, from their definitions only."""
+    own = small(names.distinct())
+    return visibility(declarations.join(own, "name", "left_semi"), definitions.join(own.withColumnRenamed("name", "declaration"), "declaration", "left_semi"))
+
+
 def callable_methods(asks: DataFrame, descendants: DataFrame) -> DataFrame:
     """asks(method, visibility, defined_in, receiver, caller) with visible: whether the caller may call it on the receiver.
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from .aliases import CONSTANTS, callable_methods
 
 KEYWORDS = (
@@ -57,8 +58,13 @@ def expression(self_name: str, nesting: list[str], ancestors: DataFrame, members
 
 def namespace_access(name: str, singleton: str | None, caller: str | None, ancestors: DataFrame, members: DataFrame, declarations: DataFrame, visibilities: DataFrame, descendants: DataFrame) -> DataFrame:
     """What can follow 'Name::': constants up to Object that aren't private, then the singleton's visible methods."""
-    shown = visibilities.select("name", "visibility")
-    constants = along(name, 0, ancestors, members, declarations, CONSTANTS, before="Object").join(shown, "name", "left").where("coalesce(visibility, 'public') <> 'private'").drop("visibility")
+    constants = along(name, 0, ancestors, members, declarations, CONSTANTS, before="Object")
+    if callable(visibilities):
+        constants = cut(constants)
+        shown = visibilities(constants.select("name"))
+    else:
+        shown = visibilities.select("name", "visibility")
+    constants = constants.join(shown, "name", "left").where("coalesce(visibility, 'public') <> 'private'").drop("visibility")
     parts = [constants.select("member", "name", "kind", "rank")]
     if singleton:
         parts.append(call(singleton, caller, ancestors, members, declarations, visibilities, descendants, step=1))
@@ -69,9 +75,12 @@ def call(receiver: str, caller: str | None, ancestors: DataFrame, members: DataF
     """Methods that the caller may call on the receiver: (member, name, kind, rank).
 
     The first of each name counts before visibility is looked at, so a private method hides an inherited public one.
+    visibilities: a table, or what makes it for a table of names.
     """
-    first = first_of_each(along(receiver, step, ancestors, members, declarations, ("Method",)))
-    asks = first.join(visibilities, "name", "left").select("member", "name", "kind", "rank", "visibility", F.col("owner").alias("defined_in"), F.lit(receiver).alias("receiver"), F.lit(caller).cast("string").alias("caller"))
+    first = cut(first_of_each(along(receiver, step, ancestors, members, declarations, ("Method",))))
+    seen = visibilities(first.select("name")) if callable(visibilities) else visibilities
+    descendants = descendants.where(F.col("descendant").isin([x for x in (receiver, caller) if x is not None]))
+    asks = first.join(seen, "name", "left").select("member", "name", "kind", "rank", "visibility", F.col("owner").alias("defined_in"), F.lit(receiver).alias("receiver"), F.lit(caller).cast("string").alias("caller"))
     return callable_methods(asks, descendants).where("visible").select("member", "name", "kind", "rank")
 
 

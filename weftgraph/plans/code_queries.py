@@ -94,7 +94,8 @@ def _constants(spark, t):
 
 def _complete(spark, t, how):
     deep, brand, third, made = (t.one("SELECT " + x) for x in (DEEP, BRAND, THIRD, MADE))
-    seen, below = aliases.visibility(t.decls, t.defs), search.descendants(t.anc)
+    below = search.descendants(t.anc)
+    seen = lambda names: aliases.visibility_of(names, t.decls, t.defs)
     if how == "call":
         return completion.call(deep, None, t.anc, t.members, t.decls, seen, below).select("member", "name")
     if how == "call_inside":
