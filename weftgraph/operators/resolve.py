@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import constant_name, singleton_name
-from ..functions.shared import cut, empty
+from ..functions.shared import cut, empty, small
 from ..sources.codegraph import CodeGraph
 from ..sources.facts import facts as read_facts
 from .linearize import chain_rows, linearize
@@ -39,16 +39,21 @@ def lookup_names(asks: DataFrame, members: DataFrame, ancestors: DataFrame, kind
     aliases: (name, resolved).
     """
     own = asks.distinct().withColumn("parts", F.filter(F.split("path", "::"), lambda x: x != "")).withColumn("top", F.col("path").startswith("::"))
-    own = cut(own.withColumn("inner", F.try_element_at("nesting", F.lit(-1))).withColumn("member", F.col("parts")[0]))
+    # A number stands for the nesting and the path while members are looked for.
+    own = cut(own.withColumn("inner", F.try_element_at("nesting", F.lit(-1))).withColumn("member", F.col("parts")[0]).withColumn("ask", F.monotonically_increasing_id()))
     chain = ancestors.where("tag = 'complete'").select("name", "pos", F.col("ancestor").alias("owner"))
     held = members.select("owner", "member", F.col("name").alias("found"))
-    scopes = own.where("NOT top").select("nesting", "path", "member", F.posexplode(F.reverse("nesting")).alias("pos", "owner")).withColumn("step", F.lit(1))
-    inner = own.where("NOT top AND inner IS NOT NULL").join(chain, F.col("inner") == F.col("name")).select("nesting", "path", "member", "pos", "owner").withColumn("step", F.lit(2))
-    loose = own.join(kinds.select(F.col("name").alias("inner"), "kind", "state"), "inner", "left").where("top OR inner IS NULL OR kind IN ('Module', '<TODO>') OR coalesce(state, 'partial') <> 'complete'")
-    last = loose.crossJoin(F.broadcast(chain.where("name = 'Object'").select("pos", "owner"))).select("nesting", "path", "member", "pos", "owner").withColumn("step", F.lit(3))
-    ranked = scopes.select("nesting", "path", "member", "pos", "owner", "step").unionAll(inner).unionAll(last).join(held, ["owner", "member"])
-    best = ranked.groupBy("nesting", "path").agg(F.min_by("found", F.struct("step", "pos")).alias("found"))
-    out = own.select("nesting", "path", "parts").join(best, ["nesting", "path"])
+    scopes = own.where("NOT top").select("ask", "member", F.posexplode(F.reverse("nesting")).alias("pos", "owner"))
+    near = cut(scopes.join(held, ["owner", "member"]).groupBy("ask").agg(F.min_by("found", "pos").alias("found")))
+    # Only what no scope has goes on along the chains, which are many times longer.
+    open_ = cut(own.select("ask", "member", "inner", "top").join(near, "ask", "left_anti"))
+    inner = open_.where("NOT top AND inner IS NOT NULL").join(chain, F.col("inner") == F.col("name")).select("ask", "member", "pos", "owner", F.lit(2).alias("step"))
+    loose = open_.join(kinds.select(F.col("name").alias("inner"), "kind", "state"), "inner", "left").where("top OR inner IS NULL OR kind IN ('Module', '<TODO>') OR coalesce(state, 'partial') <> 'complete'")
+    last = loose.crossJoin(F.broadcast(chain.where("name = 'Object'").select("pos", "owner"))).select("ask", "member", "pos", "owner", F.lit(3).alias("step"))
+    asked = open_.select("member").distinct()
+    far = inner.unionAll(last).join(held.join(small(cut(asked)), "member", "left_semi"), ["owner", "member"])
+    best = near.unionAll(far.groupBy("ask").agg(F.min_by("found", F.struct("step", "pos")).alias("found")))
+    out = own.select("ask", "nesting", "path", "parts").join(best, "ask").drop("ask")
     longest = own.agg(F.max(F.size("parts")).alias("n")).first()["n"] or 1
     for k in range(1, longest):
         now = out.join(aliases.select(F.col("name").alias("found"), "resolved"), "found", "left").withColumn("at", F.coalesce("resolved", "found")).withColumn("member", F.get("parts", F.lit(k)))
