@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.shared import cut
 from weftgraph.graph import EdgeTable, NodeTable, PropertyGraph
-from weftgraph.operators import aliases, incremental, resolve, search, tools
+from weftgraph.operators import aliases, incremental, linearize, resolve, search, tools
 from weftgraph.plans import catalogue, code_queries, compiler
 from weftgraph.plans.query import cypher
 from weftgraph.sources.codegraph import CodeGraph
@@ -113,3 +113,11 @@ def test_names_found_in_a_scope_are_not_sought_along_chains(spark):
     got = {(" ".join(r["nesting"]), r["path"]): r["found"] for r in found.collect()}
     deep = "M M::C"
     assert got == {(deep, "X"): "M::C::X", (deep, "Y"): "M::Y", (deep, "Z"): "S::Z", (deep, "C"): "M::C", (deep, "::T"): "T", (deep, "Y::X"): "M::Y::X", ("", "T"): "T", ("M", "T"): "T"}
+
+
+def test_a_round_of_chains_is_one_join(spark):
+    waiting = spark.createDataFrame([("A", "Class", "B", [(1, "include", "M"), (0, "prepend", "N")]), ("C", "Class", "A", []), ("D", "Module", None, [])], "name string, kind string, superclass string, mixins array<struct<ord: int, k: string, m: string>>")
+    chains = spark.createDataFrame([("B", ["B"], "complete"), ("M", ["M"], "partial"), ("N", ["N"], "complete")], "name string, chain array<string>, state string")
+    step = linearize._round(waiting, chains)
+    assert step._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {r["name"]: (r["chain"], r["state"]) for r in step.collect()} == {"A": (["N", "A", "M", "B"], "partial"), "C": (None, None), "D": (["D"], "complete")}

@@ -22,20 +22,26 @@ _FOLD = """aggregate(mixins,
   acc -> concat(acc.p, array(name), acc.i, parents))"""
 
 
-def _round(ready: DataFrame, chains: DataFrame) -> DataFrame:
-    """(name, chain, state) of ready(name, superclass, mixins array<struct<ord, k, m>>), whose needs are all in chains."""
-    base = chains.select(F.col("name").alias("superclass"), F.col("chain").alias("parents"), F.col("state").alias("parent_state"))
-    own = ready.join(base, "superclass", "left")
-    own = own.withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
-    each = own.select("name", F.explode_outer("mixins").alias("x")).select("name", "x.ord", "x.k", F.col("x.m").alias("m"))
-    found = each.join(chains.select(F.col("name").alias("m"), F.col("chain").alias("c"), F.col("state").alias("s")), "m")
-    mixed = found.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "k", "c", "s"))).alias("mixins"))
-    own = own.drop("mixins").join(mixed, "name", "left").withColumn("mixins", F.coalesce("mixins", F.expr("cast(array() as array<struct<ord: int, k: string, c: array<string>, s: string>>)")))
+def _round(waiting: DataFrame, chains: DataFrame) -> DataFrame:
+    """waiting(name, kind, superclass, mixins array<struct<ord, k, m>>) with chain and state for those whose needs are all in chains.
+
+    The superclass stands among the needs as one of kind 'up', so that a round is one join and one exchange by name.
+    """
+    every = "concat(transform(mixins, x -> named_struct('ord', x.ord, 'k', x.k, 'need', x.m)), IF(superclass IS NULL, array(), array(named_struct('ord', CAST(NULL AS INT), 'k', 'up', 'need', superclass))))"
+    each = waiting.select("name", "kind", "superclass", "mixins", F.explode_outer(F.expr(every)).alias("x")).select("name", "kind", "superclass", "mixins", "x.ord", "x.k", "x.need")
+    found = each.join(chains.select(F.col("name").alias("need"), F.col("chain").alias("c"), F.col("state").alias("s")), "need", "left")
+    got = F.collect_list(F.when(F.col("c").isNotNull(), F.struct("ord", "k", "c", "s")))
+    own = found.groupBy("name").agg(
+        F.first("kind").alias("kind"), F.first("superclass").alias("superclass"), F.first("mixins").alias("wanted"),
+        F.count_if(F.col("need").isNotNull() & F.col("c").isNull()).alias("open"), F.array_sort(got).alias("got"),
+    )
+    own = own.withColumn("parents", F.coalesce(F.expr("get(filter(got, x -> x.k = 'up'), 0).c"), F.array().cast("array<string>"))).withColumn("mixins", F.expr("filter(got, x -> x.k <> 'up')"))
     # A module that mixes itself in has itself in its chain once.
     chain = F.array_distinct(F.expr(_FOLD))
-    states = F.concat(F.array("parent_state"), F.transform("mixins", lambda x: x["s"]))
+    states = F.transform("got", lambda x: x["s"])
     state = F.when(F.array_contains(states, "cyclic"), "cyclic").when(F.array_contains(states, "partial"), "partial").otherwise("complete")
-    return own.select("name", chain.alias("chain"), state.alias("state"))
+    made = F.col("open") == 0
+    return own.select("name", "kind", "superclass", F.col("wanted").alias("mixins"), F.when(made, chain).alias("chain"), F.when(made, state).alias("state"))
 
 
 def linearize(namespaces: DataFrame, mixins: DataFrame) -> DataFrame:
@@ -85,11 +91,7 @@ def _rounds(chains: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame
     """(chains with those that could be made, the namespaces that still wait)."""
     left = -1
     while True:
-        done = chains.select(F.col("name").alias("need"), F.lit(True).alias("there"))
-        open_ = _needs(waiting).join(done, "need", "left").where("there IS NULL").select("name").distinct().withColumn("open", F.lit(True))
-        marked = waiting.join(open_, "name", "left")
-        new = _round(marked.where("open IS NULL").drop("open"), chains)
-        step = cut(marked.join(new, "name", "left").select("name", "kind", "superclass", "mixins", "chain", "state"))
+        step = cut(_round(waiting, chains))
         chains = chains.unionAll(step.where("chain IS NOT NULL").select("name", "chain", "state"))
         waiting = step.where("chain IS NULL").select("name", "kind", "superclass", "mixins")
         before, left = left, waiting.count()
